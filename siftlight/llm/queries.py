@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlight.llm import fusion, terms, topn
+from siftlight.llm import fusion, mixing, packing, terms, tokens, topn
+from siftlight.scratch import materialize
 from siftlight.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,27 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.first_items(table(spark, folder, "features"))
 
 
+def _sizes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("doc_id is not null")
+    return materialize(tokens.with_tokens(docs.select("doc_id", *columns, "text")), "sizes")
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.filled(_sizes(spark, folder), table(spark, folder, "pack_capacity"))
+
+
+def _mixture(spark: SparkSession, folder: str):
+    return mixing.mixture(_sizes(spark, folder, "source"), table(spark, folder, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -42,6 +64,9 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p4_found": p4_found,
         "p6_found": p6_found,
+        "p7_containers": p7_containers,
+        "p8_mixture": p8_mixture,
+        "p8_shares": p8_shares,
     }
 
 
