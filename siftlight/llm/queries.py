@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlight.llm import fusion, mixing, packing, terms, tokens, topn
+from siftlight.llm import fusion, mixing, packing, sentences, terms, tokens, topn
 from siftlight.scratch import materialize
 from siftlight.sources.tables import table
 
@@ -57,6 +57,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, folder))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.units(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "p7_containers": p7_containers,
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
+        "p9_found": p9_found,
     }
 
 
