@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlight.llm import fusion, mixing, packing, sentences, terms, tokens, topn
+from siftlight.llm import fusion, mixing, packing, sentences, stuffing, terms, tokens, topn
 from siftlight.scratch import materialize
 from siftlight.sources.tables import table
 
@@ -28,6 +28,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return counts.marked().where("mark is not null").select("stem", "mark")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    scores = table(spark, folder, "doc_store").select("doc_id", "spam_score")
+    return stuffing.stuffed_pages(docs, scores).select("doc_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_ranked(table(spark, folder, "runs")).select("run_id", "qid", "ext_id")
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p1_scores": p1_scores,
         "p2_found": p2_found,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p6_found": p6_found,
         "p7_containers": p7_containers,
