@@ -24,6 +24,8 @@ from siftlight.scratch import materialize
 CLASSES = "function new again number address tag code end separator line bullet thai_function thai_new thai_again".split()
 (FUNCTION, NEW, AGAIN, NUMBER, ADDRESS, TAG, CODE, END, SEPARATOR, LINE, BULLET, T_FUNCTION, T_NEW, T_AGAIN) = range(14)
 V = len(CLASSES)
+#: Marks the first byte of a block.
+FIRST = 0x80
 _IS_WORD = np.isin(np.arange(V), (FUNCTION, NEW, AGAIN, NUMBER, ADDRESS, TAG, CODE, T_FUNCTION, T_NEW, T_AGAIN))
 
 #: Words of a block at least; it ends with the next line or sentence, at the latest with twice as many.
@@ -72,12 +74,18 @@ def _words(text: str) -> Iterator[tuple[int, str]]:
             yield kind, word
 
 
-def sequence(text: str, functions: frozenset[str]) -> np.ndarray:
-    """The classes of a text, one byte each."""
+def sequence(text: str, functions: frozenset[str]) -> bytes:
+    """The classes of a text, one byte each; FIRST is set where a block starts.
+
+    A block ends with the line or sentence in which it gets its BLOCK-th word, at the latest with twice as
+    many words; a rest of less than half a block belongs to the block before.
+    """
     last: dict[str, int] = {}
     out = bytearray()
     at, start = 0, True
+    words, first, fresh = 0, 0, True
     for kind, word in _words(text):
+        counts = True
         if kind in (_SIGN, _RUN, _WORD):
             at += 1
             thai = kind == _RUN
@@ -95,64 +103,72 @@ def sequence(text: str, functions: frozenset[str]) -> np.ndarray:
                     c = NEW if word.isalpha() or not any(x.isdigit() for x in word) else CODE
         else:
             c = _FIXED[kind]
-            at += c in (ADDRESS, TAG, NUMBER)
+            counts = c in (ADDRESS, TAG, NUMBER)
+            at += counts
             if start and c == SEPARATOR and word in "-*•[":
                 c = BULLET
-            elif c == LINE and out and out[-1] == LINE:
+            elif c == LINE and out and out[-1] & ~FIRST == LINE:
                 continue
         start = c == LINE
-        out.append(c)
-    return np.frombuffer(bytes(out), np.uint8)
-
-
-def blocks(seq: np.ndarray) -> np.ndarray:
-    """Where the blocks of a sequence start."""
-    words = np.cumsum(_IS_WORD[seq])
-    can_end = np.isin(seq, (LINE, END))
-    starts, begun, base = [0], 0, 0
-    n = len(seq)
-    ends = np.flatnonzero(can_end)
-    while True:
-        full = int(np.searchsorted(words, base + BLOCK))
-        cut = int(np.searchsorted(words, base + 2 * BLOCK))
-        i = int(np.searchsorted(ends, max(full, begun)))
-        stop = min(int(ends[i]) if i < len(ends) else n, cut) + 1
-        if full >= n or stop >= n:
-            break
-        base, begun = int(words[stop - 1]), stop
-        starts.append(stop)
-    # a short rest belongs to the block before
-    if len(starts) > 1 and words[-1] - base < BLOCK // 2:
-        starts.pop()
-    return np.array(starts)
-
-
-def _trigrams(seq: np.ndarray) -> np.ndarray:
-    padded = np.concatenate(([LINE, LINE], seq)).astype(np.int64)
-    return (padded[:-2] * V + padded[1:-1]) * V + padded[2:]
+        if fresh:
+            first, fresh = len(out), False
+            out.append(c | FIRST)
+        else:
+            out.append(c)
+        words += counts
+        if (words >= BLOCK and c in (LINE, END)) or words >= 2 * BLOCK:
+            words, fresh = 0, True
+    if first and not fresh and words < BLOCK // 2:
+        out[first] &= ~FIRST & 0xFF
+    return bytes(out)
+
+
+#: What is counted in a block: column of a class.
+_COUNTED = np.zeros((V, 6), np.int64)
+_COUNTED[_IS_WORD, 0] = 1
+_COUNTED[[T_FUNCTION, T_NEW, T_AGAIN], 1] = 1
+_COUNTED[END, 2] = 1
+_COUNTED[[AGAIN, T_AGAIN], 3] = 1
+_COUNTED[FUNCTION, 4] = 1
+_COUNTED[[ADDRESS, TAG], 5] = (1, 2)
 
 
 @dataclass(frozen=True)
-class _Shape:
-    """Sums of the blocks of one page."""
+class _Blocks:
+    """All blocks of the pages of a batch; ``page`` is the number of a block's page."""
 
-    words: np.ndarray
+    page: np.ndarray
+    starts: np.ndarray
     tokens: np.ndarray
+    trigrams: np.ndarray
+    words: np.ndarray
     thai: np.ndarray
     prose: np.ndarray
 
 
-def _shape(seq: np.ndarray, starts: np.ndarray) -> _Shape:
-    def count(*classes: int) -> np.ndarray:
-        return np.add.reduceat(np.isin(seq, classes).astype(np.int64), starts)
-
-    words = np.add.reduceat(_IS_WORD[seq].astype(np.int64), starts)
+def _blocks(seqs: pa.BinaryArray) -> _Blocks | None:
+    """The blocks of a column of sequences, worked out for all pages at once; None without any token."""
+    offsets = np.frombuffer(seqs.buffers()[1], np.int32)[seqs.offset : seqs.offset + len(seqs) + 1]
+    raw = np.frombuffer(seqs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else None
+    if raw is None:
+        return None
+    sizes = np.diff(offsets)
+    begins = (offsets[:-1] - offsets[0])[sizes > 0]
+    seq = (raw & ~np.uint8(FIRST)).astype(np.int64)
+    one, two = np.roll(seq, 1), np.roll(seq, 2)
+    one[begins] = LINE
+    two[begins] = LINE
+    second = begins[sizes[sizes > 0] > 1] + 1
+    two[second] = LINE
+    starts = np.flatnonzero(raw & FIRST)
+    counts = np.add.reduceat(_COUNTED[seq], starts, axis=0)
+    words, thai_words, ends, again, functions, listed = counts.T
+    thai = 2 * thai_words > words
+    plain = (ends >= 1) & (functions >= 0.15 * words)
+    prose = (2 * words >= BLOCK) & (listed <= 1) & (5 * again <= words) & (thai | plain)
+    page = np.searchsorted(offsets - offsets[0], starts, side="right") - 1
     tokens = np.diff(np.append(starts, len(seq)))
-    thai = 2 * count(T_FUNCTION, T_NEW, T_AGAIN) > words
-    plain = (count(END) >= 1) & (5 * count(AGAIN) <= words) & (count(FUNCTION) >= 0.15 * words)
-    fit = (2 * words >= BLOCK) & (count(ADDRESS) <= 1) & (count(TAG) == 0)
-    prose = fit & np.where(thai, 5 * count(T_AGAIN) <= words, plain)
-    return _Shape(words, tokens, thai, prose)
+    return _Blocks(page, starts, tokens, (two * V + one) * V + seq, words, thai, prose)
 
 
 def _language() -> Column:
@@ -209,7 +225,7 @@ def sequences(docs: DataFrame, functions: frozenset[str]) -> DataFrame:
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [sequence(t, functions).tobytes() for t in batch.column("text").to_pylist()]
+            seqs = [sequence(t, functions) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(seqs, pa.binary())], names=["doc_id", "seq"])
 
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -222,12 +238,9 @@ def train(seqs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(V**3, np.int64)
         for batch in batches:
-            for raw in batch.column("seq").to_pylist():
-                seq = np.frombuffer(raw, np.uint8)
-                if len(seq):
-                    starts = blocks(seq)
-                    s = _shape(seq, starts)
-                    total += np.bincount(_trigrams(seq)[np.repeat(s.prose, s.tokens)], minlength=V**3)
+            b = _blocks(batch.column("seq"))
+            if b is not None:
+                total += np.bincount(b.trigrams[np.repeat(b.prose, b.tokens)], minlength=V**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -248,22 +261,19 @@ _BLOCKS = "array<struct<bits: double, words: long, thai: boolean, prose: boolean
 
 def scored(seqs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(doc_id, good, blocks) of (doc_id, good, seq): mean bits, words and kind of every block."""
-    kind = pa.list_(pa.struct([("bits", pa.float64()), ("words", pa.int64()), ("thai", pa.bool_()), ("prose", pa.bool_())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for raw in batch.column("seq").to_pylist():
-                seq = np.frombuffer(raw, np.uint8)
-                if not len(seq):
-                    found.append([])
-                    continue
-                starts = blocks(seq)
-                s = _shape(seq, starts)
-                mean = np.add.reduceat(bits[_trigrams(seq)], starts) / s.tokens
-                cols = zip(mean.tolist(), s.words.tolist(), s.thai.tolist(), s.prose.tolist())
-                found.append([{"bits": b, "words": w, "thai": t, "prose": p} for b, w, t, p in cols])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(found, kind)], names=["doc_id", "good", "blocks"])
+            b = _blocks(batch.column("seq"))
+            n = len(batch)
+            if b is None:
+                ends, cols = np.zeros(n + 1, np.int32), [np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)]
+            else:
+                ends = np.append(0, np.cumsum(np.bincount(b.page, minlength=n))).astype(np.int32)
+                cols = [np.add.reduceat(bits[b.trigrams], b.starts) / b.tokens, b.words, b.thai, b.prose]
+            each = pa.StructArray.from_arrays([pa.array(c) for c in cols], names=["bits", "words", "thai", "prose"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), each)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), lists], names=["doc_id", "good", "blocks"])
 
     return seqs.select("doc_id", "good", "seq").mapInArrow(score, f"doc_id long, good boolean, blocks {_BLOCKS}")
 
