@@ -92,6 +92,30 @@ class _Bins:
                     return True
         return False
 
+    def _loosen(self, a: int, size: int, others: np.ndarray, dead: np.ndarray) -> bool:
+        """One exchange between two other bins after which one of them has room for ``size``.
+
+        The fuller one takes the longer item, which raises the sum of the squared fills.
+        """
+        room = np.where(dead, -1, self.gaps)
+        room[a] = -1
+        sizes, bins = self.sizes[others], self.bin_of[others]
+        gap = room[bins]
+        for b in np.argsort(-room, kind="stable")[:64]:
+            if room[b] < 0:
+                break
+            need = size - room[b]
+            for y in others[bins == b]:
+                more = self.sizes[y] - sizes
+                ok = (bins != b) & (more >= need) & (more <= gap) & (more > gap - room[b])
+                if ok.any():
+                    x = others[np.flatnonzero(ok)[np.argmin(more[ok])]]
+                    to = int(self.bin_of[x])
+                    self._put(x, int(b))
+                    self._put(y, to)
+                    return True
+        return False
+
     def search(self) -> None:
         """Empty the least filled bins, one after the other, until nothing helps."""
         dead = np.zeros(len(self.gaps), bool)
@@ -112,7 +136,7 @@ class _Bins:
                     break
                 items = items[np.argsort(-self.sizes[items], kind="stable")]
                 others = np.flatnonzero(movable[self.bin_of] & (self.bin_of != a))
-                if not self._step(a, items, others, dead):
+                if not self._step(a, items, others, dead) and not self._loosen(a, int(self.sizes[items[-1]]), others, dead):
                     tried[a] = True
                     fails += 1
                     break

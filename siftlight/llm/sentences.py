@@ -61,7 +61,7 @@ _OTHER_DOTS = "".join(
         # before numbers: No. 5, p. 5, streets
         rf"|(?<=(?:{_NO_WORD}(?:Nos?|pp?)|\p{{L}}str)\.)(?={_W}*\p{{Nd}})",
         # ordinals and numbers of list entries
-        rf"|(?<=\b(?:im|am|vom|zum|ab|bis|seit){_W}\p{{Nd}}{{1,2}}\.)(?={_W}\p{{Lu}})",
+        rf"|(?<=\b(?i:im|am|vom|zum|ab|bis|seit){_W}\p{{Nd}}{{1,2}}\.)(?={_W}\p{{Lu}})",
         r"|(?<=(?:\n|^)[ \t]{0,8}\p{Nd}{1,3}\.)(?=[ \t])",
         ")",
     )

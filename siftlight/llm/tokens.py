@@ -53,8 +53,11 @@ def count_tokens(text: str | None, path: str = RANKS) -> int:
 
 
 def with_tokens(df: DataFrame, text: str = "text", path: str = RANKS) -> DataFrame:
-    """``df`` with its text column replaced by ``tokens`` (long); every text is read whole."""
-    kept = [c for c in df.columns if c != text]
+    """``df`` with its text column replaced by ``tokens`` (long); every text is read whole.
+
+    Null and empty texts have 0 tokens; a column ``tokens`` that is already there is replaced.
+    """
+    kept = [c for c in df.columns if c not in (text, "tokens")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
