@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlight.plans import tree as T
@@ -12,12 +14,13 @@ from siftlight.sources.index import Index
 FIELD = "body"
 
 
-def initial_ranking(run: DataFrame, index: Index, k: int) -> DataFrame:
-    """(qid, doc_id, score) of the first ``k`` lines of every query in a run file (qid, ext_id, score, line).
+def initial_ranking(run: DataFrame, index: Index, k: int, order_by: Sequence[Column | str] = ("line",)) -> DataFrame:
+    """(qid, doc_id, score) of the first ``k`` lines of every query in a run (qid, ext_id, score, line).
 
-    Lines count in file order, before unknown ids are dropped.
+    Lines count in file order, or in that of ``order_by``, before unknown ids are dropped. Only the first
+    ``k`` lines of each task's share of a query are shuffled.
     """
-    order = Window.partitionBy("qid").orderBy("line")
+    order = Window.partitionBy("qid").orderBy(*order_by)
     first = run.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     return first.join(index.docs.select("doc_id", "ext_id"), "ext_id").select("qid", "doc_id", "score")
 

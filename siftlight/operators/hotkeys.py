@@ -25,7 +25,7 @@ def lookup_join(
     lookup_rows: int | None = None,
     bound: int = 10_000,
 ) -> DataFrame:
-    """Inner join of ``facts`` with ``lookup``, which has one row per key.
+    """Inner join of ``facts`` with ``lookup``, whose rows of one key all have the same weight.
 
     ``weight`` is a column of ``lookup`` that says how many rows of ``facts`` have the key (an upper
     estimate will do); it decides which keys are broadcast. Neither side is collected. Null keys match
@@ -44,3 +44,17 @@ def lookup_join(
     near = facts.join(F.broadcast(hot), keys)
     far = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return near.unionByName(far)
+
+
+#: Lists of one key are divided into so many parts.
+PARTS = 1024
+
+
+def listed(rows: DataFrame, keys: Sequence[str], spread: str, *items: str) -> DataFrame:
+    """(keys, items): the ``items`` of every key as arrays of structs, a popular key in up to PARTS rows.
+
+    ``spread`` is the column by whose hash a key's rows are divided, so no list grows with the whole group.
+    """
+    part = F.pmod(F.xxhash64(spread), F.lit(PARTS)).alias("_part")
+    grouped = rows.groupBy(*keys, part).agg(F.collect_list(F.struct(*items)).alias("items"))
+    return grouped.select(*keys, "items")

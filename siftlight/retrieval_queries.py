@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlight.functions import analysis, urls
@@ -181,16 +181,18 @@ def run_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _file_run(spark: SparkSession, folder: str) -> DataFrame:
-    """run-001 in the order of its lines: by rank_no where present, then score and id."""
-    rows = table(spark, folder, "runs").where("run_id = 'run-001'")
-    order = Window.partitionBy("qid").orderBy(F.col("rank_no").asc_nulls_last(), F.desc("score"), "ext_id")
-    ids = rows.where(~F.isnan("score") & F.col("score").isNotNull())
-    return ids.select("qid", norm_id("ext_id").alias("ext_id"), "score", F.row_number().over(order).alias("line"))
+    rows = table(spark, folder, "runs").where("run_id = 'run-001' and score is not null and not isnan(score)")
+    return rows.select("qid", norm_id("ext_id").alias("ext_id"), "score", "rank_no")
+
+
+def _initial(spark: SparkSession, folder: str) -> DataFrame:
+    """The first lines of run-001: by rank where there is one, then score and id."""
+    order = (F.col("rank_no").asc_nulls_last(), F.desc("score"), "ext_id")
+    return feedback.initial_ranking(_file_run(spark, folder), index_of(spark, folder), FB_DOCS, order)
 
 
 def initial_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    got = feedback.initial_ranking(_file_run(spark, folder), index_of(spark, folder), FB_DOCS)
-    return got.select("qid", "doc_id", "score")
+    return _initial(spark, folder).select("qid", "doc_id", "score")
 
 
 def _feedback(spark: SparkSession, folder: str) -> tuple[DataFrame, T.Node | None]:
@@ -214,8 +216,8 @@ def prf_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 def prf_all_queries(spark: SparkSession, folder: str) -> DataFrame:
     index = index_of(spark, folder)
-    first = feedback.initial_ranking(_file_run(spark, folder), index, FB_DOCS)
-    return feedback.learned_text(feedback.term_scores(index, materialize(first, "prf-docs"), FB_MU, 5)).select("qid")
+    first = materialize(_initial(spark, folder), "prf-docs")
+    return feedback.learned_text(feedback.term_scores(index, first, FB_MU, 5)).select("qid")
 
 
 def ltr_url_features(spark: SparkSession, folder: str) -> DataFrame:
