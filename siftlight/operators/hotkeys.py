@@ -46,15 +46,17 @@ def lookup_join(
     return near.unionByName(far)
 
 
-#: Lists of one key are divided into so many parts.
-PARTS = 1024
+#: Lists of one key are divided into so many parts, and those into lists of at most LENGTH items, so that
+#: a table of BROADCAST_ROWS lists has a size bound too.
+PARTS, LENGTH = 1024, 64
 
 
 def listed(rows: DataFrame, keys: Sequence[str], spread: str, *items: str) -> DataFrame:
-    """(keys, items): the ``items`` of every key as arrays of structs, a popular key in up to PARTS rows.
+    """(keys, items): the ``items`` of every key as arrays of at most LENGTH structs, a popular key in many rows.
 
     ``spread`` is the column by whose hash a key's rows are divided, so no list grows with the whole group.
     """
     part = F.pmod(F.xxhash64(spread), F.lit(PARTS)).alias("_part")
     grouped = rows.groupBy(*keys, part).agg(F.collect_list(F.struct(*items)).alias("items"))
-    return grouped.select(*keys, "items")
+    starts = F.sequence(F.lit(1), F.size("items"), F.lit(LENGTH))
+    return grouped.select(*keys, F.explode(F.transform(starts, lambda i: F.slice("items", i, LENGTH))).alias("items"))
