@@ -218,9 +218,10 @@ def filled(sizes: DataFrame, kinds: DataFrame, group: int = GROUP) -> DataFrame:
     every = kept.select(*columns, "turn", "grp", "bin").unionByName(second.select(*columns, "turn", "grp", "bin"))
 
     # dense numbers: bins of a group in order, groups one after the other
-    used = every.groupBy("container", "turn", "grp").agg(F.array_sort(F.collect_set("bin")).alias("bins"), F.count("*").alias("size"))
+    used = every.groupBy("container", "turn", "grp").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("size"))
     before = Window.partitionBy("container").orderBy("turn", "grp").rowsBetween(Window.unboundedPreceding, -1)
-    base = materialize(used.withColumn("base", F.coalesce(F.sum(F.size("bins")).over(before), F.lit(0))), "bin-bases")
-    numbered = lookup_join(every, base, ["container", "turn", "grp"], "size")
-    number = F.col("base") + F.array_position("bins", F.col("bin")) - 1
+    base = used.select("container", "turn", "grp", "size", F.coalesce(F.sum("bins").over(before), F.lit(0)).alias("base"))
+    numbered = lookup_join(every, materialize(base, "bin-bases"), ["container", "turn", "grp"], "size")
+    inside = Window.partitionBy("container", "turn", "grp").orderBy("bin")  # the items of one group
+    number = F.col("base") + F.dense_rank().over(inside) - 1
     return numbered.select("container", "capacity", number.cast("long").alias("container_no"), "doc_id", "piece", "tokens")

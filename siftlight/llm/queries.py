@@ -82,8 +82,27 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _fusion_sql() -> str:
+    """Lower medians by rank, then the mean log of the logistic values, one row per query, item and score."""
+    clean = ", ".join(f"avg(case when not isnan({f}) and abs({f}) < 1e300 then {f} end) as {f}" for f in fusion.FEATURES)
+    return f"""
+with item as (
+  select qid, lower(trim(ext_id)) as ext_id, {clean} from features
+  where qid is not null and trim(ext_id) <> '' group by 1, 2),
+long as (unpivot item on {", ".join(fusion.FEATURES)} into name f value x),
+mid as (select qid, f, quantile_disc(x, 0.5) as m, min(x) < max(x) as varies from long group by 1, 2),
+dev as (select qid, f, quantile_disc(abs(x - m), 0.5) as d, avg(abs(x - m)) as a from long join mid using (qid, f) group by 1, 2),
+z as (
+  select qid, ext_id, (x - m) / (case when d > 0 then d / {fusion.MAD_OF_NORMAL} else a * 1.2533 end) as z
+  from long join mid using (qid, f) join dev using (qid, f) where varies),
+score as (select qid, ext_id, exp(avg(case when z >= 0 then -ln(1 + exp(-z)) else z - ln(1 + exp(z)) end)) as s from z group by 1, 2)
+select qid, ext_id from item left join score using (qid, ext_id)
+qualify row_number() over (partition by qid order by round(coalesce(s, 0.5), 12) desc, ext_id) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": _fusion_sql(),
         "p2_found": """
 with newest as (
   select doc_id, stems, stems_freq,

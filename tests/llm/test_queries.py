@@ -12,7 +12,7 @@ def test_sql(agree, name):
     agree(QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize(("name", "columns"), [("p1_found", ["doc_id", "stem"]), ("p3_found", ["doc_id"]), ("p6_found", ["qid", "ext_id"]), ("p9_found", ["doc_id", "start_pos", "end_pos"])])
+@pytest.mark.parametrize(("name", "columns"), [("p1_found", ["doc_id", "stem"]), ("p3_found", ["doc_id"]), ("p9_found", ["doc_id", "start_pos", "end_pos"])])
 def test_columns(spark, name, columns):
     from tests.conftest import DATA
 
