@@ -160,9 +160,12 @@ def _batch(model: M.Model) -> Query:
     return run
 
 
+def _plain(spark: SparkSession, folder: str) -> DataFrame:
+    return _queries(spark, folder).where(~F.ltrim("query").startswith("#"))
+
+
 def _bag_run(spark: SparkSession, folder: str) -> DataFrame:
-    plain = _queries(spark, folder).where(~F.ltrim("query").startswith("#"))
-    result = batch.evaluate_all(index_of(spark, folder), plain, BM25)
+    result = batch.evaluate_all(index_of(spark, folder), _plain(spark, folder), BM25)
     return ranking.top_per_query(result.scores, BM25.digits)
 
 
@@ -226,18 +229,26 @@ def ltr_url_features(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", urls.depth(url).alias("f2"), urls.from_wikipedia(url).alias("f3"), urls.domain_score(url).alias("f17"))
 
 
-def _letor(spark: SparkSession, folder: str) -> DataFrame:
-    """Features of the judged documents of all plain queries."""
-    terms = letor.bags(_queries(spark, folder))
+def _letor(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    """Features of the judged documents of (qid, query)."""
+    terms = letor.bags(queries)
     pairs = letor.judged(table(spark, folder, "qrels")).join(terms.select("qid").distinct(), "qid", "left_semi")
     return letor.features(index_of(spark, folder), pairs, terms, table(spark, folder, "pagerank"), LETOR)
 
 
-def ltr_features(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _letor(spark, folder)
+def _feature_rows(rows: DataFrame) -> DataFrame:
     return rows.select("qid", "ext_id", "rel", *(F.round(c, 12).alias(c) for c in letor.FEATURES))
 
 
+def ltr_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Of plain queries only, like its SQL; ``ltr_features_all`` has every query."""
+    return _feature_rows(_letor(spark, folder, _plain(spark, folder)))
+
+
+def ltr_features_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _feature_rows(_letor(spark, folder, _queries(spark, folder)))
+
+
 def ltr_normalized(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "features").withColumn("ext_id", norm_id("ext_id"))
     rows = rows.groupBy("qid", "ext_id").agg(F.max("rel").alias("rel"), *(F.max(finite(c)).alias(c) for c in letor.FEATURES))
@@ -267,9 +278,18 @@ def svm_weights(spark: SparkSession, folder: str) -> DataFrame:
     return letor.svm_weights(rows).select("feature", F.round("weight", 6).alias("weight"))
 
 
+def _tf_df(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    scores = letor.tf_df_score(index_of(spark, folder), letor.bags(queries))
+    return scores.select("qid", "doc_id", F.round("score", 9).alias("score"))
+
+
 def tf_df_score(spark: SparkSession, folder: str) -> DataFrame:
-    terms = letor.bags(_queries(spark, folder))
-    return letor.tf_df_score(index_of(spark, folder), terms).select("qid", "doc_id", F.round("score", 9).alias("score"))
+    """Of plain queries only, like its SQL; ``tf_df_score_all`` has every query."""
+    return _tf_df(spark, folder, _plain(spark, folder))
+
+
+def tf_df_score_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _tf_df(spark, folder, _queries(spark, folder))
 
 
 def avg_stem_len(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,6 +306,7 @@ def queries() -> dict[str, Query]:
                 analyze_tokens, external_ids, unmatched_ids, topk_run, load_queries, parse_queries, bag_run, dummy_row,
                 run_lines, initial_ranking, prf_terms, prf_rerank, prf_all_queries, ltr_url_features, ltr_features,
                 ltr_normalized, ltr_svmlight, ltr_rerank, svm_weights, tf_df_score, avg_stem_len,
+                ltr_features_all, tf_df_score_all,
             )
         },
         "batch_run": _batch(INDRI),

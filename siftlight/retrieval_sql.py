@@ -189,7 +189,11 @@ best as (select *, row_number() over (order by score desc, term) as rank from le
     return f"with recursive {_BASE},\n" + ",\n".join(made.parts) + "," + more + final
 
 
-def _letor() -> str:
+#: The texts that count as plain queries.
+_PLAIN = " and not starts_with(ltrim(query), '#')"
+
+
+def _letor(only: str = _PLAIN) -> str:
     m = Q.LETOR
     per = f"""
 select pair.qid, pair.doc_id, f.field,
@@ -215,7 +219,7 @@ group by pair.qid, pair.doc_id, f.field, dl.len"""
     wide = ", ".join(f"{v} as {k}" for k, v in cols.items())
     return _with(f""",
 q as ({_LATEST}),
-word as (select qid, unnest({_tokens("query")}) as term from q where query is not null and not starts_with(ltrim(query), '#')),
+word as (select qid, unnest({_tokens("query")}) as term from q where query is not null{only}),
 bag0 as (select qid, term, count(*) as qtf from word where term <> '' and term not in ({_STOP}) group by all),
 bag as (select *, sum(qtf) over (partition by qid) as qlen from bag0),
 jd as (
@@ -238,6 +242,16 @@ select pair.qid, pair.ext_id, pair.rel, round(spam_score::double, 12) as f1,
 from pair join wide using (qid, doc_id) left join pr using (ext_id)""").replace(_BASE + "\n,", _BASE + ",")
 
 
+def _tf_df(only: str = _PLAIN) -> str:
+    return _with(f""",
+q as ({_LATEST}),
+word as (select qid, unnest({_tokens("query")}) as term from q where query is not null{only}),
+bag as (select distinct qid, term from word where term <> '' and term not in ({_STOP})),
+tfs as (select doc_id, term, count(*) as tf from post where field = 'body' group by all)
+select qid, doc_id, round(1 + sum(tf / df), 9) as score from bag join tfs using (term) join ts on ts.term = bag.term and ts.field = 'body'
+group by 1, 2""").replace(_BASE + "\n,", _BASE + ",")
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         name: tree_sql(parse(text, model), model, f"select doc_id, round(s, {model.digits}) as score from result")
@@ -300,6 +314,7 @@ select doc_id, (length(coalesce(raw_url, '')) - length(replace(coalesce(raw_url,
   case when contains(raw_url, '.edu') or contains(raw_url, '.mil') then 1.0 when contains(raw_url, '.org') then 0.95 else 0.0 end::double as f17
 from page""")
     out["ltr_features"] = _letor()
+    out["ltr_features_all"] = _letor("")
     item = ", ".join(f"max(case when not isnan({f}) then {f} end) as {f}" for f in FEATURES)
     scaled = ", ".join(
         f"round(coalesce(case when max({f}) over w > min({f}) over w then ({f} - min({f}) over w) / (max({f}) over w - min({f}) over w) end, 0), 9) as {f}"
@@ -317,12 +332,7 @@ from page""")
     out["svm_weights"] = " union all ".join(
         f"select {i} as feature, round(sum(rel * coalesce(case when not isnan(f{i}) then f{i} end, 0)), 6) as weight from features where rel is not null" for i in (2, 3, 17, 18)
     )
-    out["tf_df_score"] = _with(f""",
-q as ({_LATEST}),
-word as (select qid, unnest({_tokens("query")}) as term from q where query is not null and not starts_with(ltrim(query), '#')),
-bag as (select distinct qid, term from word where term <> '' and term not in ({_STOP})),
-tfs as (select doc_id, term, count(*) as tf from post where field = 'body' group by all)
-select qid, doc_id, round(1 + sum(tf / df), 9) as score from bag join tfs using (term) join ts on ts.term = bag.term and ts.field = 'body'
-group by 1, 2""").replace(_BASE + "\n,", _BASE + ",")
+    out["tf_df_score"] = _tf_df()
+    out["tf_df_score_all"] = _tf_df("")
     out["avg_stem_len"] = _with("select doc_id, round(avg(length(term)), 9) as length from post where field = 'body' group by 1")
     return out
