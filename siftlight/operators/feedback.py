@@ -14,15 +14,19 @@ from siftlight.sources.index import Index
 FIELD = "body"
 
 
-def initial_ranking(run: DataFrame, index: Index, k: int, order_by: Sequence[Column | str] = ("line",)) -> DataFrame:
+def initial_ranking(
+    run: DataFrame, docs: DataFrame, k: int, order_by: Sequence[Column | str] = ("line",), by: Sequence[str] = ("qid",)
+) -> DataFrame:
     """(qid, doc_id, score) of the first ``k`` lines of every query in a run (qid, ext_id, score, line).
 
+    ``docs`` is (doc_id, ext_id) of all documents. ``by`` are the columns that tell rankings apart, where there are more than one of a query.
+
     Lines count in file order, or in that of ``order_by``, before unknown ids are dropped. Only the first
     ``k`` lines of each task's share of a query are shuffled.
     """
-    order = Window.partitionBy("qid").orderBy(*order_by)
+    order = Window.partitionBy(*by).orderBy(*order_by)
     first = run.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    return first.join(index.docs.select("doc_id", "ext_id"), "ext_id").select("qid", "doc_id", "score")
+    return first.join(docs.select("doc_id", "ext_id"), "ext_id").select(*by, "doc_id", "score")
 
 
 def term_scores(index: Index, feedback: DataFrame, mu: float, k: int) -> DataFrame:

@@ -183,19 +183,30 @@ def run_lines(spark: SparkSession, folder: str) -> DataFrame:
     return files.run_lines(dummy_row(spark, folder))
 
 
+#: What tells the rankings of the runs table apart.
+RANKING = ("run_id", "qid")
+
+
 def _file_run(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "runs").where("run_id = 'run-001' and score is not null and not isnan(score)")
-    return rows.select("qid", norm_id("ext_id").alias("ext_id"), "score", "rank_no")
+    rows = table(spark, folder, "runs").where("score is not null and not isnan(score)")
+    return rows.select(*RANKING, norm_id("ext_id").alias("ext_id"), "score", "rank_no")
 
 
 def _initial(spark: SparkSession, folder: str) -> DataFrame:
-    """The first lines of run-001: by rank where there is one, then score and id."""
+    """The first lines of every ranking: by rank where there is one, then score and id."""
     order = (F.col("rank_no").asc_nulls_last(), F.desc("score"), "ext_id")
-    return feedback.initial_ranking(_file_run(spark, folder), index_of(spark, folder), FB_DOCS, order)
+    # ids need no index
+    docs = table(spark, folder, "documents").where("doc_id is not null").select("doc_id", norm_id("ext_id").alias("ext_id"))
+    return feedback.initial_ranking(_file_run(spark, folder), docs, FB_DOCS, order, RANKING)
 
 
 def initial_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return _initial(spark, folder).select("qid", "doc_id", "score")
+    """Of run-001 only, like its SQL; ``initial_ranking_all`` has every run."""
+    return _initial(spark, folder).where("run_id = 'run-001'").select("qid", "doc_id", "score")
+
+
+def initial_ranking_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _initial(spark, folder)
 
 
 def _feedback(spark: SparkSession, folder: str) -> tuple[DataFrame, T.Node | None]:
@@ -219,7 +230,7 @@ def prf_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 def prf_all_queries(spark: SparkSession, folder: str) -> DataFrame:
     index = index_of(spark, folder)
-    first = materialize(_initial(spark, folder), "prf-docs")
+    first = materialize(_initial(spark, folder).where("run_id = 'run-001'"), "prf-docs")
     return feedback.learned_text(feedback.term_scores(index, first, FB_MU, 5)).select("qid")
 
 
@@ -306,7 +317,7 @@ def queries() -> dict[str, Query]:
                 analyze_tokens, external_ids, unmatched_ids, topk_run, load_queries, parse_queries, bag_run, dummy_row,
                 run_lines, initial_ranking, prf_terms, prf_rerank, prf_all_queries, ltr_url_features, ltr_features,
                 ltr_normalized, ltr_svmlight, ltr_rerank, svm_weights, tf_df_score, avg_stem_len,
-                ltr_features_all, tf_df_score_all,
+                ltr_features_all, tf_df_score_all, initial_ranking_all,
             )
         },
         "batch_run": _batch(INDRI),

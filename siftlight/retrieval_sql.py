@@ -169,6 +169,12 @@ line as (
          row_number() over (partition by qid order by rank_no nulls last, score desc, lower(trim(ext_id))) as k
   from runs where run_id = 'run-001' and score is not null and not isnan(score))"""
 
+_FILE_RUNS = """
+line as (
+  select run_id, qid, item as ext_id, score,
+         row_number() over (partition by run_id, qid order by rank_no nulls last, score desc, item nulls first) as k
+  from (select *, nullif(lower(trim(ext_id)), '') as item from runs) where score is not null and not isnan(score))"""
+
 
 def _prf(final: str) -> str:
     """Feedback terms: every candidate term against every feedback document."""
@@ -296,6 +302,7 @@ from sc join page using (doc_id) qualify rank <= 100""").replace(_BASE + "\n,",
     out["dummy_row"] = "select 10 as qid, 'Q0' as q0, 'dummy' as ext_id, 1 as rank, 0.0::double as score, 'run-1' as run_id"
     out["run_lines"] = "select concat_ws(chr(9), '10', 'Q0', 'dummy', '1', '0.0', 'run-1') as value"
     out["initial_ranking"] = f"with {_FILE_RUN} select qid, doc_id, score from line join (select doc_id, lower(trim(ext_id)) as ext_id from documents) using (ext_id) where k <= {Q.FB_DOCS}"
+    out["initial_ranking_all"] = f"with {_FILE_RUNS} select run_id, qid, doc_id, score from line join (select doc_id, lower(trim(ext_id)) as ext_id from documents) using (ext_id) where k <= {Q.FB_DOCS}"
     out["prf_terms"] = _prf("\nselect term, rank, round(score * 1e6, 4) as score from best")
     out["prf_all_queries"] = f"""
 with {_FILE_RUN} select distinct qid from line join (select doc_id, lower(trim(ext_id)) as ext_id, text from documents) using (ext_id)
