@@ -29,9 +29,14 @@ def initial_ranking(
     return first.join(docs.select("doc_id", "ext_id"), "ext_id").select(*by, "doc_id", "score")
 
 
-def term_scores(index: Index, feedback: DataFrame, mu: float, k: int) -> DataFrame:
+def term_scores(
+    index: Index, feedback: DataFrame, mu: float, k: int, by: Sequence[str] = ("qid",), significant: int | None = None
+) -> DataFrame:
     """(qid, term, score, rank): the ``k`` best expansion terms from (qid, doc_id, score).
 
+    ``by`` are the columns that tell rankings apart, where there are more than one of a query. Scores are
+    rounded to 12 digits before they are ranked, or to ``significant`` ones, for documents' scores of any size.
+
     A term's score is the sum over all feedback documents of its smoothed probability there, times the
     document's score, times ln(1 / p). The part of documents that lack the term is the same factor for
     all terms of a query, so no pair of term and document is made that isn't in the index. Terms with a
@@ -39,16 +44,17 @@ def term_scores(index: Index, feedback: DataFrame, mu: float, k: int) -> DataFra
     """
     length = F.coalesce(F.col("lens").getItem(FIELD), F.lit(0)).cast("double")
     docs = feedback.join(index.docs.select("doc_id", "lens"), "doc_id").select(
-        "qid", "doc_id", (F.col("score") / (length + mu)).alias("share")
+        *by, "doc_id", (F.col("score") / (length + mu)).alias("share")
     )
-    base = docs.groupBy("qid").agg(F.sum("share").alias("base"))
+    base = docs.groupBy(*by).agg(F.sum("share").alias("base"))
     seen = index.postings.where(F.col("field") == FIELD).select("bucket", "term", "doc_id", "tf").join(docs, "doc_id")
-    sums = seen.where(~F.col("term").rlike("^.+[.,]")).groupBy("qid", "bucket", "term").agg(F.sum(F.col("tf") * F.col("share")).alias("own"))
+    sums = seen.where(~F.col("term").rlike("^.+[.,]")).groupBy(*by, "bucket", "term").agg(F.sum(F.col("tf") * F.col("share")).alias("own"))
     stats = index.term_stats.where(F.col("field") == FIELD).select("bucket", "term", "ctf")
     p = F.col("ctf") / F.lit(float(index.stats(FIELD).sum_ttf or 1))
     score = F.log(1 / p) * (F.col("own") + F.lit(mu) * p * F.col("base"))
-    rows = sums.join(stats, ["bucket", "term"]).join(base, "qid").select("qid", "term", F.round(score, 12).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "term")
+    rounded = F.round(score, 12) if significant is None else F.format_string(f"%.{significant - 1}e", score).cast("double")
+    rows = sums.join(stats, ["bucket", "term"]).join(base, list(by)).select(*by, "term", rounded.alias("score"))
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "term")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

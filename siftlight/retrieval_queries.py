@@ -59,6 +59,8 @@ FLAGSHIP = "#SUM(map travel museum)"
 #: Feedback: documents, terms, smoothing, weight of the original.
 FB_DOCS, FB_TERMS, FB_MU, FB_WEIGHT = 10, 20, 100.0, 0.5
 FB_QUERY = "travel map museum"
+#: Significant digits of a term's score where the documents' scores are those of a run file.
+FB_DIGITS = 9
 
 
 def _tree(name: str) -> Query:
@@ -229,9 +231,17 @@ def prf_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prf_all_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The queries of run-001 that have an expansion, like its SQL; ``prf_terms_all`` has the terms of every run."""
     index = index_of(spark, folder)
     first = materialize(_initial(spark, folder).where("run_id = 'run-001'"), "prf-docs")
-    return feedback.learned_text(feedback.term_scores(index, first, FB_MU, 5)).select("qid")
+    return feedback.learned_text(feedback.term_scores(index, first, FB_MU, FB_TERMS)).select("qid")
+
+
+def prf_terms_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The expansion terms of every ranking, whatever the size of its scores."""
+    first = materialize(_initial(spark, folder), "prf-docs")
+    terms = feedback.term_scores(index_of(spark, folder), first, FB_MU, FB_TERMS, RANKING, FB_DIGITS)
+    return terms.select(*RANKING, "term", "rank", "score")
 
 
 def ltr_url_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -317,7 +327,7 @@ def queries() -> dict[str, Query]:
                 analyze_tokens, external_ids, unmatched_ids, topk_run, load_queries, parse_queries, bag_run, dummy_row,
                 run_lines, initial_ranking, prf_terms, prf_rerank, prf_all_queries, ltr_url_features, ltr_features,
                 ltr_normalized, ltr_svmlight, ltr_rerank, svm_weights, tf_df_score, avg_stem_len,
-                ltr_features_all, tf_df_score_all, initial_ranking_all,
+                ltr_features_all, tf_df_score_all, initial_ranking_all, prf_terms_all,
             )
         },
         "batch_run": _batch(INDRI),

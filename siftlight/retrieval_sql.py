@@ -307,6 +307,19 @@ from sc join page using (doc_id) qualify rank <= 100""").replace(_BASE + "\n,",
     out["prf_all_queries"] = f"""
 with {_FILE_RUN} select distinct qid from line join (select doc_id, lower(trim(ext_id)) as ext_id, text from documents) using (ext_id)
 where k <= {Q.FB_DOCS} and len(list_filter({_tokens("text")}, lambda w: w <> '' and w not in ({_STOP}))) > 0"""
+    out["prf_terms_all"] = _with(f""",
+{_FILE_RUNS},
+fb as (select run_id, qid, doc_id, score from line join page using (ext_id) where k <= {Q.FB_DOCS}),
+body as (select doc_id, term, count(*) as tf from post where field = 'body' group by all),
+cand as (select distinct run_id, qid, term from fb join body using (doc_id) where not regexp_matches(term, '^.+[.,]')),
+learned as (
+  select c.run_id, c.qid, c.term, printf('%.{Q.FB_DIGITS - 1}e', sum((coalesce(b.tf, 0) + {Q.FB_MU} * p) / (coalesce(len, 0) + {Q.FB_MU}) * fb.score * ln(1 / p)))::double as score
+  from cand c join fb on fb.run_id = c.run_id and fb.qid = c.qid
+  join (select term, ctf / (select sum_ttf from fs where field = 'body') as p from ts where field = 'body') pt on pt.term = c.term
+  left join body b on b.doc_id = fb.doc_id and b.term = c.term
+  left join (select * from dl where field = 'body') dl on dl.doc_id = fb.doc_id group by all)
+select run_id, qid, term, row_number() over (partition by run_id, qid order by score desc, term) as rank, score
+from learned qualify rank <= {Q.FB_TERMS}""").replace(_BASE + "\n,", _BASE + ",")
     out["prf_rerank"] = _prf(f""",
 wt as (select term, {1 - Q.FB_WEIGHT} * score / (select sum(score) from best) as w from best),
 lp as (
