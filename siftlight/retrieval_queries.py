@@ -92,9 +92,12 @@ def live_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_vector(spark: SparkSession, folder: str) -> DataFrame:
-    index = index_of(spark, folder)
-    probes = table(spark, folder, "probe_docs").distinct()
-    return index.postings.join(probes, "doc_id", "left_semi").select("doc_id", "field", "term", "tf")
+    """Of the pages in probe_docs only, like its SQL; ``term_vector_all`` has every page."""
+    return index_of(spark, folder).vectors(table(spark, folder, "probe_docs"))
+
+
+def term_vector_all(spark: SparkSession, folder: str) -> DataFrame:
+    return index_of(spark, folder).vectors()
 
 
 def vector_accessors(spark: SparkSession, folder: str) -> DataFrame:
@@ -327,7 +330,7 @@ def queries() -> dict[str, Query]:
                 analyze_tokens, external_ids, unmatched_ids, topk_run, load_queries, parse_queries, bag_run, dummy_row,
                 run_lines, initial_ranking, prf_terms, prf_rerank, prf_all_queries, ltr_url_features, ltr_features,
                 ltr_normalized, ltr_svmlight, ltr_rerank, svm_weights, tf_df_score, avg_stem_len,
-                ltr_features_all, tf_df_score_all, initial_ranking_all, prf_terms_all,
+                ltr_features_all, tf_df_score_all, initial_ranking_all, prf_terms_all, term_vector_all,
             )
         },
         "batch_run": _batch(INDRI),

@@ -275,6 +275,7 @@ where (field = 'body' and term in ('map', 'travel')) or (field = 'title' and ter
 select term, count(distinct doc_id) as df, count(*) as ctf from post
 where field = 'body' and doc_id in (select doc_id from page where deleted_at is null) group by term""")
     out["term_vector"] = _with("select doc_id, field, term, count(*) as tf from post where doc_id in (select doc_id from probe_docs) group by all")
+    out["term_vector_all"] = _with("select doc_id, field, term, count(*) as tf from post group by all")
     out["vector_accessors"] = """
 select distinct doc_id, indexed_at, len(list_filter(stems, lambda s: s is not null)) as stems, list_sum(stems_freq) as occurrences
 from term_vectors where field = 'body'"""

@@ -73,6 +73,11 @@ class Index:
         """Postings of the given terms; only their partitions and row groups are read."""
         return self.postings.where(self._of(terms))
 
+    def vectors(self, asked: DataFrame | None = None) -> DataFrame:
+        """(doc_id, field, term, tf), the forward view of all documents, or of those in ``asked`` (doc_id)."""
+        rows = self.postings if asked is None else self.postings.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+        return rows.select("doc_id", "field", "term", "tf")
+
     def stats_of(self, terms: Sequence[T.Term]) -> DataFrame:
         return self.term_stats.where(self._of(terms))
 

@@ -201,3 +201,14 @@ def test_feedback_only_language_model(index):
     with pytest.raises(M.UnsupportedOperator):
         feedback.expanded(node, [("dog", 1.0)], 0.5, M.BM25())
     assert feedback.expanded(node, [], 0.5, M.Indri()) == node
+
+
+def test_vectors_of_all_and_of_asked_documents(spark, index):
+    def count(words):
+        return {w: words.count(w) for w in words if w not in STOP}
+
+    want = {(d[0], f, w): n for d in DOCS for f, k in (("body", 2), ("title", 3)) for w, n in count((d[k] or "").split()).items()}
+    assert {(r.doc_id, r.field, r.term): r.tf for r in index.vectors().collect()} == want
+    asked = spark.createDataFrame([(3,), (3,), (99,)], "doc_id long")
+    got = {(r.doc_id, r.field, r.term): r.tf for r in index.vectors(asked).collect()}
+    assert got == {k: n for k, n in want.items() if k[0] == 3}
