@@ -19,9 +19,9 @@ from siftlight.scratch import materialize
 
 #: Share of the page's own model in the mixture with the collection's.
 OWN_SHARE = 0.005
-#: Expectation-maximisation stops when no term moves more than this, at the latest after MAX_STEPS.
+#: Expectation-maximisation stops when no term moves more than this. A page that still moves after MAX_STEPS is an error.
 TOLERANCE = 1e-6
-MAX_STEPS = 60
+MAX_STEPS = 1_000_000
 #: Partitions of the stored counts.
 BUCKETS = 16
 
@@ -158,15 +158,23 @@ def _solve(own: float, steps: int, tolerance: float):
             tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(float)
             background = (1.0 - own) * flat.field("background").to_numpy(zero_copy_only=False)
             p = tf / np.add.reduceat(tf, first)[page]
-            moving = np.ones(len(width), bool)
+            # of the pages that still move: their entries, and the arrays of those
+            at, n, q, c, bg = np.arange(len(p)), width, p, tf, background
             for _ in range(steps):
-                expected = tf * own * p / (own * p + background)
-                new = expected / np.add.reduceat(expected, first)[page]
-                change = np.maximum.reduceat(np.abs(new - p), first)
-                p = np.where(moving[page], new, p)  # a page that has converged stays
-                moving &= change >= tolerance
-                if not moving.any():
+                start = np.concatenate(([0], np.cumsum(n)[:-1]))
+                expected = c * own * q / (own * q + bg)
+                new = expected / np.repeat(np.add.reduceat(expected, start), n)
+                moving = np.maximum.reduceat(np.abs(new - q), start) >= tolerance
+                q = new
+                if moving.all():
+                    continue
+                p[at] = q  # a page that has converged stays
+                kept = np.repeat(moving, n)
+                at, q, c, bg, n = at[kept], q[kept], c[kept], bg[kept], n[moving]
+                if not len(n):
                     break
+            else:
+                raise ArithmeticError(f"{len(n)} pages still move by {tolerance} after {steps} steps")
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[held]
             yield pa.RecordBatch.from_arrays(
                 [

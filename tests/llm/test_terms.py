@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,18 @@ def test_asked_pages_are_scored_against_all(spark):
     asked = spark.createDataFrame([(3,), (3,), (None,), (99,)], "doc_id long")
     got = terms.most_distinctive(terms.parsimonious(states, asked)).collect()
     assert [tuple(r) for r in got] == [(3, "shared1")]
+
+
+def test_runs_until_nothing_moves(spark):
+    """Two stems nearly as widespread: the state after 60 steps still moves."""
+    rows = [(d, "body", day(1), ["near", "close"] if d < 10 else ["close", "far"] if d < 11 else [f"own{d}", "far"], [3, 3]) for d in range(40)]
+    states = terms.newest(terms.vectors(vectors(spark, rows), "body"))
+    scores = {r.stem: r.score for r in terms.parsimonious(states).where("doc_id = 0").collect()}
+    expected = {w: 0.005 * scores[w] / (0.005 * scores[w] + 0.995 * n / 80) for w, n in {"near": 10, "close": 11}.items()}
+    assert max(abs(e / sum(expected.values()) - scores[w]) for w, e in expected.items()) < terms.TOLERANCE
+
+
+def test_no_silent_end(spark):
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "terms": [{"stem": w, "tf": t, "background": b, "pages": 2} for w, t, b in (("a", 9.0, 0.5), ("b", 1.0, 0.01))]}])
+    with pytest.raises(ArithmeticError):
+        list(terms._solve(0.005, 2, 1e-6)([batch]))
