@@ -188,6 +188,11 @@ def run_lines(spark: SparkSession, folder: str) -> DataFrame:
     return files.run_lines(dummy_row(spark, folder))
 
 
+def run_lines_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the whole run of plain queries, ``dummy`` rows included."""
+    return files.run_lines(ranking.run_rows(_bag_run(spark, folder), _plain(spark, folder)))
+
+
 #: What tells the rankings of the runs table apart.
 RANKING = ("run_id", "qid")
 
@@ -331,6 +336,7 @@ def queries() -> dict[str, Query]:
                 run_lines, initial_ranking, prf_terms, prf_rerank, prf_all_queries, ltr_url_features, ltr_features,
                 ltr_normalized, ltr_svmlight, ltr_rerank, svm_weights, tf_df_score, avg_stem_len,
                 ltr_features_all, tf_df_score_all, initial_ranking_all, prf_terms_all, term_vector_all,
+                run_lines_all,
             )
         },
         "batch_run": _batch(INDRI),
