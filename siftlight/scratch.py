@@ -32,9 +32,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _own
 
 
+_own_folders: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that no other table uses."""
-    return f"{scratch_dir(spark)}/siftlight/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other table uses; it is gone when the application ends."""
+    folder = f"{scratch_dir(spark)}/siftlight/{spark.sparkContext.applicationId}"
+    if folder not in _own_folders:
+        fs, p = _file_system(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _own_folders.add(folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
@@ -47,7 +61,43 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table written here, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a table or folder, once nothing reads it any more."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no plan reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/siftlight/" in path:
+                remove(df.sparkSession, path)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, sorted; none where it doesn't exist."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, put in place as a whole."""
+    fs, p = _file_system(spark, path)
+    _, part = _file_system(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, p):
+        raise OSError(f"{path} can't be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
