@@ -150,6 +150,60 @@ def test_runs_until_nothing_moves(spark):
 
 
 def test_no_silent_end(spark):
-    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "terms": [{"stem": w, "tf": t, "background": b, "pages": 2} for w, t, b in (("a", 9.0, 0.5), ("b", 1.0, 0.01))]}])
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "stem": w, "tf": t, "background": b, "pages": 2} for w, t, b in (("a", 9, 0.5), ("b", 1, 0.01))])
     with pytest.raises(ArithmeticError):
         list(terms._solve(0.005, 2, 1e-6)([batch]))
+
+
+def test_pages_that_span_batches(spark, monkeypatch):
+    """Portions end between pages, wherever the batches end."""
+    rnd = random.Random(3)
+    rows = [(d, "body", day(1), [f"w{i}" for i in range(rnd.randint(0, 60))], [rnd.randint(1, 5)] * 60) for d in range(40)]
+    states = terms.newest(terms.vectors(vectors(spark, [(d, f, t, s, n[: len(s)]) for d, f, t, s, n in rows]), "body"))
+    whole = {(r.doc_id, r.stem): r.score for r in terms.parsimonious(states, own=0.2).collect()}
+    flat = sorted((d, w, n[0], 0.001 * (1 + len(w))) for d, _, _, s, n in rows for w in s)
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((*r, 1) for r in flat[i : i + 7]))], names=["doc_id", "stem", "tf", "background", "pages"])
+        for i in range(0, len(flat), 7)
+    ]
+    solve = terms._solve(0.2, 10_000, 1e-6)
+    once = [r for b in solve(iter(batches)) for r in b.to_pylist()]
+    monkeypatch.setattr(terms, "PORTION", 20)
+    again = [r for b in solve(iter(batches)) for r in b.to_pylist()]
+    assert once == again and len(once) == len(flat) == len(whole)
+
+
+def test_store_in_a_later_session(spark, tmp_path):
+    """A store is opened by its path; additions, changes and deletions go to the touched buckets only."""
+    path = f"file://{tmp_path}/store"
+    rows = [r for r in ROWS if r[0] in (1, 2, 3)] + [(100 + i, "body", day(1), [f"w{i}", "cat"], [2, 1]) for i in range(60)]
+    states = terms.newest(terms.vectors(vectors(spark, rows), "body"))
+    with pytest.raises(FileNotFoundError):
+        terms.TermCounts.open(spark, path)
+    terms.TermCounts.load(states, path)
+    other = spark.newSession()
+    store = terms.TermCounts.open(other, path)
+    assert store.version == 1 and store.pages == brute(rows)[1]
+
+    changed = [(2, "body", day(30), ["dog"], [7]), (500, "body", day(30), ["cat", "fish"], [1, 1])]
+    gone = states.where("doc_id in (2, 105)")
+    new = terms.newest(terms.vectors(vectors(spark, changed), "body"))
+    after = store.merge(gone, new)
+    kept = [r for r in rows if r[0] not in (2, 105)] + changed
+    want, pages = brute(kept)
+    for got in (after, terms.TermCounts.open(other, path)):
+        assert {r.stem: (r.occurrences, r.pages) for r in got.counts.collect()} == want
+        assert got.pages == pages and got.version == 2
+    assert {v for v in after.held.values()} == {1, 2}  # some buckets are those of the first load
+    assert {r.stem for r in store.counts.collect()} == set(brute(rows)[0])  # who has the old version open still reads it
+    with pytest.raises(FileExistsError):  # a second writer from the old version
+        store.merge(gone, new)
+    after.clean()
+    assert len(list((tmp_path / "store" / "manifest").glob("*.json"))) == 1
+    files = [p for p in (tmp_path / "store" / "data").glob("v*/bucket=*") if p.is_dir()]
+    assert len(files) == len(after.held)
+    assert {r.stem: (r.occurrences, r.pages) for r in terms.TermCounts.open(other, path).counts.collect()} == want
+    # a writer that broke off before its manifest leaves the version as it was
+    (tmp_path / "store" / "data" / "v3" / "bucket=0").mkdir(parents=True)
+    assert terms.TermCounts.open(other, path).version == 2
+    assert terms.TermCounts.open(other, path).merge(gone.limit(0), new.limit(0)).counts.count() == len(want)
