@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,98 +12,128 @@ from siftlight.functions.ids import finite, norm_id
 from siftlight.operators.hotkeys import lookup_join
 from siftlight.scratch import materialize
 
-#: Midpoints tried at once divide a group's interval into so many sections.
+#: Midpoints tried at once divide a group's interval into so many sections; infinite scores have one more on either side.
 SECTIONS = 256
-#: Bytes of an identifier in one part of the code: 2**48 is exact in a double.
+#: Bytes of an identifier in one part of the code: with their number they make 51 bits, exact in a double.
 CHUNK = 6
-_BIG = 1.7e308
+_MOST = float(2 ** (8 * CHUNK + 3))
 
 
 def _chunk(identifier: Column, level: Column) -> Column:
-    """Bytes CHUNK * (level - 1) and on of an identifier as a number in the order of the bytes."""
+    """Bytes CHUNK * (level - 1) and on of an identifier, and how many there are, as a number in the order of the bytes.
+
+    Of two identifiers that differ only in closing zero bytes the shorter one comes first.
+    """
     part = F.substring(F.encode(identifier, "utf-8"), (level - 1) * CHUNK + 1, F.lit(CHUNK))
-    return F.conv(F.rpad(F.hex(part), 2 * CHUNK, "0"), 16, 10).cast("double")
+    return F.conv(F.rpad(F.hex(part), 2 * CHUNK, "0"), 16, 10).cast("double") * 8 + F.length(part)
 
 
 def _code(level: Column, score: Column, identifier: Column) -> Column:
     """The part of an item's code that its group is at: level 0 the score downwards, then the identifier."""
-    down = -F.greatest(F.least(score, F.lit(_BIG)), F.lit(-_BIG)) + F.lit(0.0)
-    return F.when(level == 0, down).otherwise(_chunk(identifier, level))
+    return F.when(level == 0, -score + F.lit(0.0)).otherwise(_chunk(identifier, level))
+
+
+def _finite(x: Column) -> Column:
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
-def _section(x: Column, lo: Column, hi: Column) -> Column:
-    """The section of [lo, hi] that x falls into; halves keep the width from overflowing."""
-    width = hi / 2 - lo / 2
-    at = F.floor((x / 2 - lo / 2) / width * SECTIONS).cast("int")
-    return F.when(width > 0, F.least(F.greatest(at, F.lit(0)), F.lit(SECTIONS - 1))).otherwise(F.lit(0))
+def _octave(x: Column) -> Column:
+    """A number that grows with x and by 1 where |x| doubles; 0 for 0."""
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1100))
+
+
+def _section(x: Column, lo: Column, hi: Column, by_octave: bool = False) -> Column:
+    """The section of [lo, hi] that x falls into; lo and hi themselves never share one unless they are equal.
+
+    Sections are of equal width, or with ``by_octave`` as wide as x is large where lo and hi lie far apart:
+    in turn, the two find the cutoff among scores of any scale within some ten rounds. Halves keep the
+    width from overflowing, a factor keeps it from vanishing.
+    """
+    tiny = F.when(F.greatest(F.abs(lo), F.abs(hi)) < 2.0**-500, F.lit(2.0**500)).otherwise(F.lit(1.0))
+
+    def share(v: Column, a: Column, z: Column) -> Column:
+        return (v / 2 - a / 2) / (z / 2 - a / 2)
+
+    at = share(_finite(x) * tiny, lo * tiny, hi * tiny)
+    if by_octave:
+        a, z = _octave(lo), _octave(hi)
+        at = F.when(z - a > 10, share(_octave(_finite(x)), a, z)).otherwise(at)
+    inside = F.when(lo < hi, F.floor(F.least(F.greatest(at * SECTIONS, F.lit(0.0)), F.lit(SECTIONS - 1.0))).cast("int")).otherwise(F.lit(0))
+    inf = F.lit(float("inf"))
+    return F.when(x == -inf, -1).when(x == inf, SECTIONS).otherwise(inside)
 
 
 def _next_state(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """From section counts the section in which the group's cutoff lies.
+    """From section counts the section in which the group's cutoff lies, and where to look inside it.
 
-    The window runs over at most SECTIONS rows of a group.
+    The window runs over at most SECTIONS + 2 rows of a group.
     """
     before = Window.partitionBy(*groups).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     cum = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     hit = cum.where("before < need and before + n >= need")
     need = F.col("need") - F.col("before")
-    done = need == F.col("n")
     single = F.col("lo") == F.col("hi")
     return hit.select(
-        *groups, "section", F.col("n").alias("size"), need.alias("need"), done.alias("done"),
+        *groups, F.col("section").alias("cut"), F.col("n").alias("size"), need.alias("need"), (need == F.col("n")).alias("done"),
         F.when(single, F.col("level") + 1).otherwise(F.col("level")).alias("level"),
         F.when(single, F.lit(0.0)).otherwise(F.col("lo")).alias("lo"),
-        F.when(single, F.lit(float(2 ** (8 * CHUNK)))).otherwise(F.col("hi")).alias("hi"),
+        F.when(single, F.lit(_MOST)).otherwise(F.col("hi")).alias("hi"),
     )
 
 
 def top_n(items: DataFrame, groups: list[str], score: str, identifier: str, n: int) -> DataFrame:
     """The ``n`` first rows of each group by ``score`` downwards, then ``identifier`` in byte order.
 
-    ``items`` must have one row per group and identifier, with a score that is neither null nor NaN; a
-    group with up to ``n`` items comes out whole. All groups are refined together: an item's code is its
-    score and then its identifier, each round counts the items of every group between the midpoints of
-    the group's interval, and the interval shrinks to the one section that holds the cutoff. Items below
-    it are taken, items above it are dropped, so that only undecided ones are read in the next round. No
-    group is ever sorted or gathered: counts are combined map-side, and the cutoffs of large groups reach
-    their items by broadcast.
-
-    Columns named like the internal ones (level, lo, hi, need, section, x) must be renamed before.
+    ``items`` must have one row per group and identifier (ValueError if the cutoff falls among repeats),
+    with a score that is neither null nor NaN; infinite ones are first or last. A group with up to ``n``
+    items comes out whole, before the first round. All others are refined together: an item's code is its
+    score and then its identifier, each round counts the items of every group between the midpoints of the
+    group's interval, and the interval shrinks to the one section that holds the cutoff. Items below it
+    are taken, items above it are dropped, so that only undecided ones are read in the next round. No group
+    is ever sorted or gathered: counts are combined map-side, and the cutoffs of large groups reach their
+    items by broadcast. A round reads its items once, and writes with them the section that the next
+    round counts.
+
+    Columns named like the internal ones (level, lo, hi, need, section, x, sure) must be renamed before.
     """
     columns = [*groups, score, identifier]
     key = [F.col(g) for g in groups]
-    active = items.select(*columns)
-    code0 = _code(F.lit(0), F.col(score), F.col(identifier))
-    state = materialize(
-        active.groupBy(*key).agg(
-            F.count("*").alias("size"), F.min(code0).alias("lo"), F.max(code0).alias("hi")
-        ).select(
-            *groups, "size", "lo", "hi", F.lit(0).alias("level"),
-            F.least("size", F.lit(n)).cast("long").alias("need"),
-        ), "topn-groups",
+    first = _code(F.lit(0), F.col(score), F.col(identifier))
+    edges = items.groupBy(*key).agg(
+        F.count("*").alias("size"), F.min(_finite(first)).alias("lo"), F.max(_finite(first)).alias("hi"),
+        F.max(F.octet_length(identifier)).alias("bytes"),
+    )
+    edges = materialize(edges, "topn-groups")
+    count, most = edges.agg(F.count("*"), F.max("bytes")).first()
+    if not count:
+        return items.select(*columns).limit(0)
+    placed = lookup_join(items.select(*columns), edges.drop("bytes"), groups, "size", lookup_rows=count).select(
+        *columns, (F.col("size") <= n).alias("sure"), _section(first, F.col("lo"), F.col("hi")).alias("section"),
+        first.alias("x"), F.lit(n).cast("long").alias("need"), F.lit(0).alias("level"),
     )
-    count = state.count()
     taken: list[DataFrame] = []
-    limits = ["lo", "hi", "level", "need"]
-    while count:
-        at = lookup_join(active, state.select(*groups, "size", *limits), groups, "size", lookup_rows=count)
-        x = _code(F.col("level"), F.col(score), F.col(identifier))
-        placed = at.withColumn("section", _section(x, F.col("lo"), F.col("hi"))).withColumn("x", x)
-        counted = placed.groupBy(*key, "section").agg(
+    for turn in itertools.count(1):
+        placed = materialize(placed, "topn-items")
+        taken.append(placed.where("sure").select(*columns))
+        open_ = placed.where("not sure")
+        counted = open_.groupBy(*key, "section").agg(
             F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
             F.first("level").alias("level"), F.first("need").alias("need"),
         )
         after = materialize(_next_state(counted, groups), "topn-groups")
-        cut = after.select(*groups, F.col("section").alias("cut"), "done", "size")
-        judged = lookup_join(placed.drop("size"), cut, groups, "size", lookup_rows=count)
-        sure = (F.col("section") < F.col("cut")) | ((F.col("section") == F.col("cut")) & F.col("done"))
-        open_ = (F.col("section") == F.col("cut")) & ~F.col("done")
-        kept = materialize(judged.where(sure | open_).select(*columns, sure.alias("sure")), "topn-items")
-        taken.append(kept.where("sure").select(*columns))
-        active = kept.where("not sure").select(*columns)
-        state = after.where("not done").select(*groups, "size", *limits)
-        count = state.count()
-    return reduce(DataFrame.unionByName, taken) if taken else active.limit(0)
+        count, level = after.agg(F.count("*"), F.max(F.when(~F.col("done"), F.col("level")))).first()
+        if not count:
+            return reduce(DataFrame.unionByName, taken)
+        if level is not None and level > 1 + -(-(most or 0) // CHUNK):
+            raise ValueError(f"repeated values of {identifier} in a group")
+        at = lookup_join(open_.select(*columns, "section"), after, groups, "size", lookup_rows=count)
+        inside = F.col("section") == F.col("cut")
+        x = _code(F.col("level"), F.col(score), F.col(identifier))
+        placed = at.where(F.col("section") <= F.col("cut")).select(
+            *columns, (~inside | F.col("done")).alias("sure"),
+            F.when(inside, _section(x, F.col("lo"), F.col("hi"), turn % 2 == 1)).alias("section"),
+            x.alias("x"), "need", "level",
+        )
 
 
 def ranked_items(runs: DataFrame) -> DataFrame:

@@ -58,6 +58,29 @@ def test_ties_broken_deep_in_the_identifier(spark):
         assert found(spark, rows, n) == brute(rows, n)
 
 
+def test_identifiers_that_differ_in_zero_bytes(spark):
+    """Prefixes, closing zero bytes and lengths around the parts of the code: the search always ends."""
+    ids = ["a", "a\0", "a\0\0", "a\0b", "abcdef", "abcdef\0", "abcdefg", "abcdef\0\0\0\0\0\0", "abcdefghijkl", "abcdefghijkl\0", "\0"]
+    rows = [("a", 1, x, 1.0) for x in ids]
+    for n in (1, 2, 4, 7, 9):
+        assert found(spark, rows, n) == brute(rows, n)
+
+
+def test_every_score_has_its_place(spark):
+    """Infinite scores and the largest doubles are told apart; equal ones go by identifier."""
+    inf, big = float("inf"), 1.7976931348623157e308
+    scores = [inf, inf, big, 1.75e308, 1.7e308, 1e308, 5e-324, 0.0, -0.0, -5e-324, -1.75e308, -big, -inf, -inf]
+    rows = [("a", 1, f"d{i % 5}{i}", s) for i, s in enumerate(scores)] + [("b", 1, f"e{i}", inf) for i in range(6)] + [("c", 1, f"e{i}", -inf) for i in range(6)]
+    for n in (1, 3, 7, 8, 10, 12):
+        assert found(spark, rows, n) == brute(rows, n)
+
+
+def test_repeats_are_an_error(spark):
+    items = spark.createDataFrame([("a", 1, "x", 1.0)] * 3, SCHEMA)
+    with pytest.raises(ValueError, match="repeated"):
+        topn.top_n(items, ["run_id", "qid"], "score", "ext_id", 2)
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_empty(spark, n):
     assert found(spark, [], n) == set()
