@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlight.operators.hotkeys import lookup_join
@@ -16,14 +16,17 @@ from siftlight.scratch import materialize
 GROUP = 4000
 #: Containers filled less than this are opened again and packed with those of other groups.
 REOPEN = 0.97
-#: The search ends after so many bins in a row that could not be emptied.
-FAILS = 4
 #: Kinds of container that may be given.
 MAX_KINDS = 1000
+#: Groups whose containers are numbered in one task.
+NUMBERED = 10_000
 
 
 class _Bins:
-    """Bins of one group: contents, gaps, and the moves of the local search."""
+    """Bins of one group: contents, gaps, and the moves of the local search.
+
+    Every move raises the sum of the squared fills, so the search ends.
+    """
 
     def __init__(self, sizes: np.ndarray, capacity: int):
         self.sizes, self.capacity = sizes, capacity
@@ -51,95 +54,133 @@ class _Bins:
     def _put(self, item: int, to: int) -> None:
         self.gaps[self.bin_of[item]] += self.sizes[item]
         self.gaps[to] -= self.sizes[item]
+        beside = np.flatnonzero(self.bin_of == to)
         self.bin_of[item] = to
+        self._pairs.append((np.full(len(beside), item), beside))
+
+    def _all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The items of every pair that lies in one bin, and pairs that are parted since; none is missing."""
+        if len(self._pairs) > 64:
+            self._pairs = [tuple(np.concatenate(x) for x in zip(*self._pairs))]
+        if len(self._pairs) > 1:
+            self._pairs = [self._pairs[0], tuple(np.concatenate(x) for x in zip(*self._pairs[1:]))]
+        return tuple(np.concatenate(x) for x in zip(*self._pairs))
+
+    def _index_pairs(self) -> None:
+        """Start the list of pairs from the bins as they are."""
+        order = np.argsort(self.bin_of, kind="stable")
+        held = np.bincount(self.bin_of, minlength=len(self.gaps))
+        ends = np.cumsum(held)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for n in np.unique(held[held > 1]):
+            bins = np.flatnonzero(held == n)
+            inside = order[(ends[bins] - n)[:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            parts.append((inside[:, i].ravel(), inside[:, j].ravel()))
+        self._pairs = [tuple(np.concatenate(x) for x in zip(*parts))]
 
-    def _step(self, a: int, items: np.ndarray, others: np.ndarray, dead: np.ndarray) -> bool:
-        """One move, or exchange for one or two shorter items, that shortens bin ``a``.
+    def _step(self, a: int, items: np.ndarray, dead: np.ndarray) -> bool:
+        """One move, or exchange for one or two shorter items, that shortens bin ``a`` and raises the squared fill.
 
-        ``a`` is the least filled bin, so each of them raises the sum of the squared fills.
+        A move takes the bin it fills best; an exchange brings the shortest items back. All items of all other
+        bins are looked at.
         """
         room = np.where(dead, -1, self.gaps)
         room[a] = -1
-        for x in items:
-            size = self.sizes[x]
-            fits = np.flatnonzero(room >= size)
+        own = self.gaps[a]
+        sizes = np.unique(self.sizes[items])[::-1]  # equal items can do the same
+
+        def item(size: int) -> int:
+            return int(items[np.argmax(self.sizes[items] == size)])
+
+        for size in sizes:
+            fits = np.flatnonzero((room >= size) & (room - size < own))
             if len(fits):
-                self._put(x, int(fits[np.argmin(room[fits])]))
+                self._put(item(size), int(fits[np.argmin(room[fits])]))
                 return True
-        sizes, gap = self.sizes[others], room[self.bin_of[others]]
-        for x in items:
-            size = self.sizes[x]
-            swap = np.flatnonzero((sizes < size) & (gap >= size - sizes) & (gap >= 0))
+        gap = room[self.bin_of]
+        for size in sizes:
+            more = size - self.sizes
+            swap = np.flatnonzero((more > 0) & (gap >= more) & (gap - more < own))
             if len(swap):
-                y = others[swap[np.argmin(sizes[swap])]]
-                b = int(self.bin_of[y])
+                y = int(swap[np.argmin(self.sizes[swap])])
+                b, x = int(self.bin_of[y]), item(size)
                 self._put(y, a)
                 self._put(x, b)
                 return True
-        for x in items:
-            size = self.sizes[x]
-            near = others[(gap > 0) & (sizes < size)]
-            for b in np.unique(self.bin_of[near])[:64]:
-                inside = near[self.bin_of[near] == b]
-                two = np.add.outer(self.sizes[inside], self.sizes[inside])
-                np.fill_diagonal(two, size)
-                ok = (two < size) & (two >= size - room[b])
-                if ok.any():
-                    i, j = np.unravel_index(np.argmin(np.where(ok, two, size)), two.shape)
-                    self._put(inside[i], a)
-                    self._put(inside[j], a)
-                    self._put(x, int(b))
-                    return True
+        first, second = self._all_pairs()
+        together = self.bin_of[first] == self.bin_of[second]
+        first, second = first[together], second[together]
+        self._pairs = [(first, second)]
+        both, gap = self.sizes[first] + self.sizes[second], room[self.bin_of[first]]
+        for size in sizes:
+            more = size - both
+            swap = np.flatnonzero((more > 0) & (gap >= more) & (gap - more < own))
+            if len(swap):
+                k = swap[np.argmin(both[swap])]
+                b, x = int(self.bin_of[first[k]]), item(size)
+                self._put(int(first[k]), a)
+                self._put(int(second[k]), a)
+                self._put(x, b)
+                return True
         return False
 
-    def _loosen(self, a: int, size: int, others: np.ndarray, dead: np.ndarray) -> bool:
-        """One exchange between two other bins after which one of them has room for ``size``.
+    def _loosen(self, a: int, size: int, dead: np.ndarray) -> bool:
+        """One exchange between two other bins after which one of them has room for ``size``, the last item of ``a``.
 
-        The fuller one takes the longer item, which raises the sum of the squared fills.
+        The fuller one takes the longer item, which raises the sum of the squared fills. All pairs of items
+        that could do it are looked at: those in a bin whose longest item and the shortest of all leave enough room.
         """
         room = np.where(dead, -1, self.gaps)
         room[a] = -1
+        others = np.flatnonzero(room[self.bin_of] >= 0)
+        if not len(others):
+            return False
         sizes, bins = self.sizes[others], self.bin_of[others]
         gap = room[bins]
-        for b in np.argsort(-room, kind="stable")[:64]:
-            if room[b] < 0:
-                break
-            need = size - room[b]
-            for y in others[bins == b]:
-                more = self.sizes[y] - sizes
-                ok = (bins != b) & (more >= need) & (more <= gap) & (more > gap - room[b])
-                if ok.any():
-                    x = others[np.flatnonzero(ok)[np.argmin(more[ok])]]
-                    to = int(self.bin_of[x])
-                    self._put(x, int(b))
-                    self._put(y, to)
-                    return True
+        need = size - gap
+        able = np.flatnonzero(sizes - sizes.min() >= need)
+        if not len(able):
+            return False
+        # of the items short enough, the one with most room to grow: without it there is no exchange
+        order = np.argsort(sizes, kind="stable")
+        reach = np.maximum.accumulate((sizes + gap)[order])
+        at = np.searchsorted(sizes[order], sizes[able] - need[able], side="right") - 1
+        able = able[(at >= 0) & (reach[np.maximum(at, 0)] >= sizes[able])]
+        for k in able[np.argsort(-gap[able], kind="stable")]:
+            more = sizes[k] - sizes
+            ok = (bins != bins[k]) & (more >= need[k]) & (more <= gap) & (more > gap - gap[k])
+            if ok.any():
+                x = int(others[np.flatnonzero(ok)[np.argmin(more[ok])]])
+                to, b = int(self.bin_of[x]), int(bins[k])
+                self._put(x, b)
+                self._put(int(others[k]), to)
+                return True
         return False
 
     def search(self) -> None:
-        """Empty the least filled bins, one after the other, until nothing helps."""
+        """Try to empty every bin, the least filled first, again and again until nothing more can be moved.
+
+        It also ends when there are as few bins as the sum of the sizes allows.
+        """
         dead = np.zeros(len(self.gaps), bool)
-        tried = dead.copy()
         least = -(-int(self.sizes.sum()) // self.capacity)
-        fails = 0
-        while (~dead).sum() > least and fails < FAILS:
-            open_ = np.flatnonzero(~dead & ~tried & (self.gaps > 0))
-            if not len(open_):
-                break
-            a = int(open_[np.argmax(self.gaps[open_])])
-            movable = ~dead & (self.gaps > 0)
-            while True:
-                items = np.flatnonzero(self.bin_of == a)
-                if not len(items):
-                    dead[a] = True
-                    fails = 0
-                    break
-                items = items[np.argsort(-self.sizes[items], kind="stable")]
-                others = np.flatnonzero(movable[self.bin_of] & (self.bin_of != a))
-                if not self._step(a, items, others, dead) and not self._loosen(a, int(self.sizes[items[-1]]), others, dead):
-                    tried[a] = True
-                    fails += 1
-                    break
+        moved = True
+        if len(self.gaps) > least:
+            self._index_pairs()
+        while moved:
+            moved = False
+            for a in np.argsort(-self.gaps, kind="stable"):
+                if (~dead).sum() <= least:
+                    return
+                while not dead[a] and self.gaps[a] > 0:
+                    items = np.flatnonzero(self.bin_of == a)
+                    if not len(items):
+                        dead[a] = True
+                    elif not self._step(a, items, dead) and not (len(items) == 1 and self._loosen(a, int(self.sizes[items[0]]), dead)):
+                        break
+                    else:
+                        moved = True
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -217,10 +258,20 @@ def filled(sizes: DataFrame, kinds: DataFrame, group: int = GROUP) -> DataFrame:
     kept = first.join(loose.select(*keys), keys, "left_anti")
     every = kept.select(*columns, "turn", "grp", "bin").unionByName(second.select(*columns, "turn", "grp", "bin"))
 
-    # dense numbers: bins of a group in order, groups one after the other
+    # dense numbers: bins of a group in order, groups one after the other, in two levels so that no task has all groups
     used = every.groupBy("container", "turn", "grp").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("size"))
-    before = Window.partitionBy("container").orderBy("turn", "grp").rowsBetween(Window.unboundedPreceding, -1)
-    base = used.select("container", "turn", "grp", "size", F.coalesce(F.sum("bins").over(before), F.lit(0)).alias("base"))
+    used = materialize(used.withColumn("part", F.floor(F.col("grp") / NUMBERED)), "bin-bases")
+    parts = used.groupBy("container", "turn", "part").agg(F.sum("bins").alias("bins"), F.count("*").alias("size"))
+
+    def running(window: Window) -> Column:
+        return F.coalesce(F.sum("bins").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    whole = Window.partitionBy("container").orderBy("turn", "part")  # a row for NUMBERED groups
+    starts = parts.select("container", "turn", "part", "size", running(whole).alias("start"))
+    within = Window.partitionBy("container", "turn", "part").orderBy("grp")
+    inner = used.withColumn("inner", running(within)).withColumnRenamed("size", "rows").drop("bins")
+    base = lookup_join(inner, materialize(starts, "bin-bases"), ["container", "turn", "part"], "size")
+    base = base.select("container", "turn", "grp", F.col("rows").alias("size"), (F.col("start") + F.col("inner")).alias("base"))
     numbered = lookup_join(every, materialize(base, "bin-bases"), ["container", "turn", "grp"], "size")
     inside = Window.partitionBy("container", "turn", "grp").orderBy("bin")  # the items of one group
     number = F.col("base") + F.dense_rank().over(inside) - 1
