@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +52,38 @@ def test_poisson():
     assert mixing.capped_mean(0.7, 50) == pytest.approx(0.7)
     for rate, cap in ((0.2, 1), (0.99, 1), (1.5, 2), (3.9, 4)):
         assert mixing.capped_mean(mixing.mean_for(rate, cap), cap) == pytest.approx(rate, abs=1e-6)
-    assert mixing.poisson_cdf(float("inf"), 2) == [0.0, 0.0]
+    assert list(mixing.poisson_cdf(float("inf"), 2)) == [0.0, 0.0]
+    assert mixing.capped_mean(3000.0, 100_000) == pytest.approx(3000)  # exp(-3000) is 0 in a double
+    assert mixing.mean_for(900.0, 1000) == pytest.approx(900, rel=1e-3)
+
+
+@pytest.mark.parametrize(("mean", "cap"), [(0.0, 3), (0.3, 1), (0.7, 50), (2.5, 4), (2.5, 1_000_000), (1500.0, 1_000_000), (math.inf, 3)])
+def test_copies_are_those_of_the_law(spark, mean, cap):
+    """The expression gives what counting in the law's table gives, without a table."""
+    u = [0.0, 1e-9, 0.1, 0.35, 0.5, 0.73, 0.9, 0.999] + ([1 - 2**-52] if mean < 1000 else [])
+    law = mixing.poisson_cdf(mean, cap)
+    df = spark.createDataFrame([(x, float(mean), cap) for x in u], "u double, mean double, cap int")
+    got = [r.n for r in df.select(mixing._copies(F.col("mean"), F.col("cap")).alias("n")).collect()]
+    want = [0 if mean == 0 else int((x >= law).sum()) for x in u]
+    assert got == pytest.approx(want, abs=1 if mean > 1000 else 0)  # sums of a thousand terms round differently
+
+
+def test_who_decides_the_size(spark):
+    """The report names a source too small to limit the mixture; with least 0 it limits it."""
+    sizes = [(i, "a", 100) for i in range(2000)] + [(9999, "tiny", 10)]
+    targets = [("a", 0.8, 1), ("tiny", 0.2, 3)]
+    for least, decides in ((0.1, False), (0.0, True)):
+        mixed, draws = mixing.mixture(*frames(spark, sizes, targets), least=least)
+        got = {r.source: r for r in mixing.shares(mixed, draws).collect()}
+        assert got["tiny"].decides is decides and got["a"].decides
+        assert (got["a"].drawn > 100_000) is not decides
+
+
+def test_unfitted_means_are_the_rates(spark):
+    """Without the fit the mean is the repetition rate itself where no page is cut."""
+    _, draws = mixing.mixture(*frames(spark, SIZES, [("web", 0.5, 1000), ("news", 0.5, 1000)]), total=100_000.0, fitted=False)
+    for d in draws:
+        assert d.mean == pytest.approx(d.wanted / d.available, rel=1e-6)
 
 
 @pytest.mark.parametrize(("sizes", "targets"), [([], TARGETS), (SIZES, []), ([], [])])
