@@ -42,28 +42,34 @@ def _octave(x: Column) -> Column:
     return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1100))
 
 
-def _section(x: Column, lo: Column, hi: Column, by_octave: bool = False) -> Column:
-    """The section of [lo, hi] that x falls into; lo and hi themselves never share one unless they are equal.
+#: How a group's interval is divided: by octave or not, what a value is multiplied by, where it begins, sections per unit.
+_RULE = ["octave", "factor", "base", "slope"]
 
-    Sections are of equal width, or with ``by_octave`` as wide as x is large where lo and hi lie far apart:
-    in turn, the two find the cutoff among scores of any scale within some ten rounds. Halves keep the
-    width from overflowing, a factor keeps it from vanishing.
+
+def _rule(lo: Column, hi: Column, by_octave: bool) -> list[Column]:
+    """The columns of _RULE for [lo, hi]; lo and hi never share a section unless they are equal.
+
+    Sections are of equal width, or with ``by_octave`` as wide as a value is large where lo and hi lie far
+    apart: in turn, the two find the cutoff among scores of any scale within some ten rounds. Halves keep
+    the width from overflowing, a factor keeps it from vanishing.
     """
-    tiny = F.when(F.greatest(F.abs(lo), F.abs(hi)) < 2.0**-500, F.lit(2.0**500)).otherwise(F.lit(1.0))
+    tiny = F.when(F.greatest(F.abs(lo), F.abs(hi)) < 2.0**-500, F.lit(2.0**500)).otherwise(F.lit(1.0)) / 2
+    octave = F.coalesce(_octave(hi) - _octave(lo) > 10, F.lit(False)) & F.lit(by_octave)
+    base = F.when(octave, _octave(lo)).otherwise(lo * tiny)
+    width = F.when(octave, _octave(hi)).otherwise(hi * tiny) - base
+    return [c.alias(n) for c, n in zip((octave, tiny, base, F.when(width > 0, SECTIONS / width).otherwise(0.0)), _RULE)]
 
-    def share(v: Column, a: Column, z: Column) -> Column:
-        return (v / 2 - a / 2) / (z / 2 - a / 2)
 
-    at = share(_finite(x) * tiny, lo * tiny, hi * tiny)
-    if by_octave:
-        a, z = _octave(lo), _octave(hi)
-        at = F.when(z - a > 10, share(_octave(_finite(x)), a, z)).otherwise(at)
-    inside = F.when(lo < hi, F.floor(F.least(F.greatest(at * SECTIONS, F.lit(0.0)), F.lit(SECTIONS - 1.0))).cast("int")).otherwise(F.lit(0))
+def _section(x: Column) -> Column:
+    """The section that x falls into by the columns of _RULE; infinite values have their own."""
     inf = F.lit(float("inf"))
+    value = F.when(F.col("octave"), _octave(x)).otherwise(x * F.col("factor"))
+    at = F.coalesce((value - F.col("base")) * F.col("slope"), F.lit(0.0))
+    inside = F.floor(F.least(F.greatest(at, F.lit(0.0)), F.lit(SECTIONS - 1.0))).cast("int")
     return F.when(x == -inf, -1).when(x == inf, SECTIONS).otherwise(inside)
 
 
-def _next_state(counts: DataFrame, groups: list[str]) -> DataFrame:
+def _next_state(counts: DataFrame, groups: list[str], by_octave: bool) -> DataFrame:
     """From section counts the section in which the group's cutoff lies, and where to look inside it.
 
     The window runs over at most SECTIONS + 2 rows of a group.
@@ -73,11 +79,11 @@ def _next_state(counts: DataFrame, groups: list[str]) -> DataFrame:
     hit = cum.where("before < need and before + n >= need")
     need = F.col("need") - F.col("before")
     single = F.col("lo") == F.col("hi")
+    lo, hi = F.when(single, F.lit(0.0)).otherwise(F.col("lo")), F.when(single, F.lit(_MOST)).otherwise(F.col("hi"))
     return hit.select(
         *groups, F.col("section").alias("cut"), F.col("n").alias("size"), need.alias("need"), (need == F.col("n")).alias("done"),
         F.when(single, F.col("level") + 1).otherwise(F.col("level")).alias("level"),
-        F.when(single, F.lit(0.0)).otherwise(F.col("lo")).alias("lo"),
-        F.when(single, F.lit(_MOST)).otherwise(F.col("hi")).alias("hi"),
+        *_rule(lo, hi, by_octave),
     )
 
 
@@ -94,7 +100,7 @@ def top_n(items: DataFrame, groups: list[str], score: str, identifier: str, n: i
     items by broadcast. A round reads its items once, and writes with them the section that the next
     round counts.
 
-    Columns named like the internal ones (level, lo, hi, need, section, x, sure) must be renamed before.
+    Columns named like the internal ones (level, lo, hi, need, section, x, sure and those of _RULE) must be renamed before.
     """
     columns = [*groups, score, identifier]
     key = [F.col(g) for g in groups]
@@ -107,9 +113,9 @@ def top_n(items: DataFrame, groups: list[str], score: str, identifier: str, n: i
     count, most = edges.agg(F.count("*"), F.max("bytes")).first()
     if not count:
         return items.select(*columns).limit(0)
-    placed = lookup_join(items.select(*columns), edges.drop("bytes"), groups, "size", lookup_rows=count).select(
-        *columns, (F.col("size") <= n).alias("sure"), _section(first, F.col("lo"), F.col("hi")).alias("section"),
-        first.alias("x"), F.lit(n).cast("long").alias("need"), F.lit(0).alias("level"),
+    rules = edges.select(*groups, "size", *_rule(F.col("lo"), F.col("hi"), False))
+    placed = lookup_join(items.select(*columns), rules, groups, "size", lookup_rows=count).select(
+        *columns, (F.col("size") <= n).alias("sure"), _section(first).alias("section"), first.alias("x"), F.lit(n).cast("long").alias("need"), F.lit(0).alias("level"),
     )
     taken: list[DataFrame] = []
     for turn in itertools.count(1):
@@ -120,20 +126,19 @@ def top_n(items: DataFrame, groups: list[str], score: str, identifier: str, n: i
             F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
             F.first("level").alias("level"), F.first("need").alias("need"),
         )
-        after = materialize(_next_state(counted, groups), "topn-groups")
+        after = materialize(_next_state(counted, groups, turn % 2 == 1), "topn-groups")
         count, level = after.agg(F.count("*"), F.max(F.when(~F.col("done"), F.col("level")))).first()
         if not count:
             return reduce(DataFrame.unionByName, taken)
         if level is not None and level > 1 + -(-(most or 0) // CHUNK):
             raise ValueError(f"repeated values of {identifier} in a group")
         at = lookup_join(open_.select(*columns, "section"), after, groups, "size", lookup_rows=count)
-        inside = F.col("section") == F.col("cut")
+        undecided = (F.col("section") == F.col("cut")) & ~F.col("done")
         x = _code(F.col("level"), F.col(score), F.col(identifier))
-        placed = at.where(F.col("section") <= F.col("cut")).select(
-            *columns, (~inside | F.col("done")).alias("sure"),
-            F.when(inside, _section(x, F.col("lo"), F.col("hi"), turn % 2 == 1)).alias("section"),
-            x.alias("x"), "need", "level",
-        )
+        coded = at.where(F.col("section") <= F.col("cut")).withColumn("x", F.when(undecided, x))
+        placed = coded.select(
+            *columns, (~undecided).alias("sure"), F.when(undecided, _section(F.col("x"))).alias("section"), "x", "need", "level"
+        )
 
 
 def ranked_items(runs: DataFrame) -> DataFrame:
