@@ -47,7 +47,8 @@ def term_scores(
         *by, "doc_id", (F.col("score") / (length + mu)).alias("share")
     )
     base = docs.groupBy(*by).agg(F.sum("share").alias("base"))
-    seen = index.postings.where(F.col("field") == FIELD).select("bucket", "term", "doc_id", "tf").join(docs, "doc_id")
+    # the terms of the feedback documents come from the forward index
+    seen = index.vectors(docs, FIELD).withColumn("bucket", index.bucket(F.col("term"))).join(docs, "doc_id")
     sums = seen.where(~F.col("term").rlike("^.+[.,]")).groupBy(*by, "bucket", "term").agg(F.sum(F.col("tf") * F.col("share")).alias("own"))
     stats = index.term_stats.where(F.col("field") == FIELD).select("bucket", "term", "ctf")
     p = F.col("ctf") / F.lit(float(index.stats(FIELD).sum_ttf or 1))

@@ -17,7 +17,7 @@ from siftlight.plans import tree as T
 from siftlight.plans.parser import parse
 from siftlight.scratch import materialize
 from siftlight.sources import files
-from siftlight.sources.index import collection, index_of, scan_hits
+from siftlight.sources.index import index_of, scan
 from siftlight.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,11 +79,11 @@ def scan_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_mode(spark: SparkSession, folder: str) -> DataFrame:
-    texts = collection(spark, folder)
+    """One query over the texts themselves, without an index."""
     node = parse("#SUM(#NEAR/3(from map) travel)", BM25)
-    index = index_of(spark, folder)
-    lists = scan_hits(texts, rules.terms([x for x in node.children()]))
-    return C.evaluate(index, node, BM25, lists).select("doc_id", F.round("score", 6).alias("score"))
+    texts = table(spark, folder, "documents").where("doc_id is not null").select("doc_id", norm_id("ext_id").alias("ext_id"), F.col("text").alias("body"))
+    found = scan(texts, rules.terms(list(node.children())))
+    return C.evaluate(found, node, BM25).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def live_postings(spark: SparkSession, folder: str) -> DataFrame:

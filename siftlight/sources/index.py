@@ -1,36 +1,56 @@
 """The inverted index as tables, and how it is built.
 
+    forward      field, doc_id, start, n, terms       tokens of a piece of a field; null where a stopword stood
     docs         doc_id, ext_id, raw_url, spam_score, lens map<field, tokens after stopping>
     postings     field, bucket, term, doc_id, tf, positions
     term_stats   field, bucket, term, df, ctf
     field_stats  field, doc_count, sum_ttf
+    index.json   buckets, analyzer
 
 ``postings`` and ``term_stats`` are partitioned by field and a hash bucket of the term and sorted by term
-inside a file, so the lookup of a few terms prunes partitions and row groups.
+inside a file, so the lookup of a few terms prunes partitions and row groups. ``forward`` answers for
+documents what the others answer for terms.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlight.functions import analysis
+from siftlight.functions.analysis import Analyzer
 from siftlight.functions.ids import norm_id
+from siftlight.operators.hotkeys import lookup_join
 from siftlight.plans import tree as T
-from siftlight.scratch import new_path
+from siftlight.scratch import materialize, new_path, read_text, write_text
 from siftlight.sources.tables import table
 
-BUCKETS = 8
-#: Rows of one bucket are divided once more by document, so that a frequent term doesn't fill one task.
-SALTS = 4
+#: Tokens that a task of the build gets on average; buckets and tasks follow from it and the tokens there are.
+TASK_TOKENS = 2_000_000
+#: Buckets of an index.
+LEAST_BUCKETS, MOST_BUCKETS = 8, 512
+#: Rows of ``forward`` from which the layout is planned: frequent terms are spread over more tasks. The
+#: sample decides only where rows lie, not what they are.
+PLAN_ROWS = 50_000
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+_SCHEMAS = {
+    "docs": "doc_id long, ext_id string, raw_url string, spam_score int, lens map<string, bigint>",
+    "postings": "term string, doc_id long, tf int, positions array<int>, field string, bucket int",
+    "term_stats": "term string, df long, ctf long, field string, bucket int",
+    "field_stats": "field string, doc_count long, sum_ttf long",
+    "forward": "doc_id long, start int, n int, terms array<string>, field string",
+}
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -51,10 +71,15 @@ class Index:
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    forward: DataFrame | None = None
+    buckets: int = LEAST_BUCKETS
+    analyzer: Analyzer = analysis.DEFAULT
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "term_stats", "field_stats")))
+        about = json.loads(read_text(spark, f"{path}/index.json"))
+        tables = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _SCHEMAS.items())
+        return cls(*tables, about["buckets"], Analyzer.of(about["analyzer"]))
 
     @cached_property
     def n_docs(self) -> int:
@@ -69,68 +94,130 @@ class Index:
     def stats(self, field: str) -> FieldStats:
         return self.fields.get(field, FieldStats(0, 0))
 
+    def bucket(self, term: Column) -> Column:
+        return bucket(term, self.buckets)
+
     def lists(self, terms: Sequence[T.Term]) -> DataFrame:
         """Postings of the given terms; only their partitions and row groups are read."""
         return self.postings.where(self._of(terms))
 
-    def vectors(self, asked: DataFrame | None = None) -> DataFrame:
+    def pieces(self, asked: DataFrame | None = None, field: str | None = None) -> DataFrame:
+        """Rows of ``forward``, of all documents or those in ``asked`` (doc_id), of all fields or one."""
+        rows = self.forward if field is None else self.forward.where(F.col("field") == field)
+        return rows if asked is None else rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def vectors(self, asked: DataFrame | None = None, field: str | None = None) -> DataFrame:
         """(doc_id, field, term, tf), the forward view of all documents, or of those in ``asked`` (doc_id)."""
-        rows = self.postings if asked is None else self.postings.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-        return rows.select("doc_id", "field", "term", "tf")
+        each = self.pieces(asked, field).select("doc_id", "field", F.explode(F.array_compact("terms")).alias("term"))
+        return each.groupBy("doc_id", "field", "term").agg(F.count("*").cast("int").alias("tf"))
 
     def stats_of(self, terms: Sequence[T.Term]) -> DataFrame:
         return self.term_stats.where(self._of(terms))
 
     def _of(self, terms: Sequence[T.Term]) -> Column:
+        """The terms' rows; the buckets are literals once the optimizer has folded them."""
         by_field: dict[str, list[str]] = {}
         for t in terms:
             by_field.setdefault(t.field, []).append(t.term)
         cond = F.lit(False)
         for field, words in sorted(by_field.items()):
-            keys = self.docs.sparkSession.range(1).select(F.array_distinct(F.array(*(bucket(F.lit(w)) for w in words)))).first()[0]
-            cond |= (F.col("field") == field) & F.col("bucket").isin(keys) & F.col("term").isin(sorted(set(words)))
+            words = sorted(set(words))
+            held = F.col("bucket").isin([self.bucket(F.lit(w)) for w in words])
+            cond |= (F.col("field") == field) & held & F.col("term").isin(words)
         return cond
 
 
-def field_tokens(texts: DataFrame, fields: Sequence[str] = T.FIELDS) -> DataFrame:
-    """(doc_id, field, tokens) of a table with one text column per field."""
+def field_terms(texts: DataFrame, fields: Sequence[str], analyzer: Analyzer) -> DataFrame:
+    """(doc_id, field, terms) of a table with one text column per field; null and empty texts have no row."""
     have = [f for f in fields if f in texts.columns]
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in have)))
-    flat = texts.select("doc_id", each.alias("e"))
-    return flat.select("doc_id", F.col("e.field").alias("field"), analysis.tokens(F.col("e.text")).alias("tokens"))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in have)).cast("array<struct<field: string, text: string>>"))
+    flat = texts.select("doc_id", each.alias("e")).where("e.text <> ''")
+    return flat.select("doc_id", F.col("e.field").alias("field"), analyzer.kept(F.col("e.text")).alias("terms"))
 
 
-def build(docs: DataFrame, path: str, fields: Sequence[str] = T.FIELDS) -> Index:
-    """Write the index of ``docs`` (doc_id, ext_id, raw_url, spam_score and a text column per field).
+def placed_pieces(pieces: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(doc_id, field, start, terms) of (doc_id, field, part, place, text): pieces that make up a field together.
 
-    Rows without doc_id are left out; doc_id must be unique. The tokens are shuffled once, by bucket and
-    salt, which serves the grouping of positions and the layout of the files.
+    A piece starts where those before it end, as if their texts were one, but no text is joined and no
+    document's pieces meet in one task: tokens are counted per part, then inside a part. ``part`` is a
+    number that grows with ``place``, so that a document has a bounded number of parts and a part few pieces.
     """
-    spark = docs.sparkSession
-    docs = docs.where("doc_id is not null")
-    toks = field_tokens(docs, fields)
-    long = toks.select("doc_id", "field", F.posexplode("tokens").alias("pos", "term")).where(~analysis.is_stop(F.col("term")) & (F.col("term") != ""))
-    placed = long.withColumns({"bucket": bucket(F.col("term")), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))})
-    rows = placed.repartition("field", "bucket", "salt").groupBy("field", "bucket", "salt", "term", "doc_id").agg(
-        F.array_sort(F.collect_list("pos")).alias("positions")
-    )
-    rows = rows.select("field", "bucket", "term", "doc_id", F.size("positions").alias("tf"), "positions")
-    rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
-    postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    keys = ["doc_id", "field"]
+    counted = pieces.select(*keys, "part", "place", analyzer.kept(F.col("text")).alias("terms")).withColumn("all", F.size("terms"))
+    counted = materialize(counted.where("all > 0"), "pieces")
+
+    def running(window) -> Column:
+        return F.coalesce(F.sum("all").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = counted.groupBy(*keys, "part").agg(F.sum("all").alias("all"))
+    starts = parts.select(*keys, "part", running(Window.partitionBy(*keys).orderBy("part")).alias("begin"))
+    inside = counted.withColumn("inside", running(Window.partitionBy(*keys, "part").orderBy("place")))
+    whole = inside.join(starts, [*keys, "part"])
+    return whole.select(*keys, (F.col("begin") + F.col("inside")).cast("int").alias("start"), "terms")
+
+
+def build(
+    docs: DataFrame,
+    path: str,
+    fields: Sequence[str] = T.FIELDS,
+    pieces: DataFrame | None = None,
+    analyzer: Analyzer = analysis.DEFAULT,
+    task_tokens: int = TASK_TOKENS,
+) -> Index:
+    """Write the index of ``docs`` (doc_id, ext_id, raw_url, spam_score and a text column per field).
 
-    stats = postings.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    stats.sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{path}/term_stats")
+    ``pieces`` adds fields that are made up of many small texts; see ``placed_pieces``. Rows without doc_id
+    are left out; doc_id must be unique, and the documents of ``pieces`` must be among them.
 
-    lens = postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len"))
+    Texts are analysed once, into ``forward``. Its tokens are shuffled once, by field, bucket and slice,
+    which serves the grouping of positions and the layout of the files. There are as many buckets and
+    slices as the tokens need; a term's rows lie in one slice of its bucket, those of a frequent term are
+    spread over all of them by document.
+    """
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    toks = field_terms(docs, fields, analyzer).select("doc_id", "field", F.lit(0).alias("start"), "terms")
+    if pieces is not None:
+        toks = toks.unionByName(placed_pieces(pieces, analyzer))
+    kept = F.size(F.array_compact("terms")).alias("n")
+    toks.select("doc_id", "field", "start", kept, "terms").where("n > 0").write.partitionBy("field").parquet(f"{path}/forward")
+    forward = spark.read.schema(_SCHEMAS["forward"]).parquet(f"{path}/forward")
+
+    lens = forward.groupBy("doc_id", "field").agg(F.sum("n").alias("len"))
     maps = lens.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "len"))).alias("lens"))
     empty = F.expr("cast(map() as map<string, bigint>)")
     stored = [c if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("raw_url", "string"), ("spam_score", "int"))]
     whole = docs.select("doc_id", "ext_id", *stored).join(maps, "doc_id", "left")
     whole.withColumn("lens", F.coalesce("lens", empty)).write.parquet(f"{path}/docs")
 
-    written = spark.read.parquet(f"{path}/docs")
-    each = written.select(F.explode("lens").alias("field", "len")).where("len > 0")
+    written = spark.read.schema(_SCHEMAS["docs"]).parquet(f"{path}/docs")
+    each = written.select(F.explode("lens").alias("field", "len"))
     each.groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("len").alias("sum_ttf")).coalesce(1).write.parquet(f"{path}/field_stats")
+    total, rows = forward.agg(F.sum("n"), F.count("*")).first()
+    tasks = max(1, math.ceil((total or 0) / task_tokens))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (tasks // 4).bit_length()))
+    slices = math.ceil(tasks / buckets)
+    by_term = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(slices))
+    long = forward.select("doc_id", "field", "start", F.posexplode("terms").alias("at", "term")).where("term is not null")
+    long = long.select("doc_id", "field", "term", (F.col("start") + F.col("at")).alias("pos"))
+    if slices > 1:
+        share = min(1.0, PLAN_ROWS / rows)
+        sample = forward.sample(share, seed=1).select("field", F.explode(F.array_compact("terms")).alias("term"))
+        often = sample.groupBy("field", "term").agg((F.count("*") / F.lit(share)).alias("about"))
+        # at most 4 * tasks terms can be as frequent as that
+        often = materialize(often.where(F.col("about") >= task_tokens / 4).select("field", "term", F.lit(True).alias("often")), "frequent-terms")
+        long = long.join(F.broadcast(often), ["field", "term"], "left")
+        by_term = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(slices))).otherwise(by_term)
+    placed = long.select("field", "term", "doc_id", "pos", bucket(F.col("term"), buckets).alias("bucket"), by_term.cast("int").alias("slice"))
+    spread = placed.repartition(max(2 * tasks, spark.sparkContext.defaultParallelism), "field", "bucket", "slice")
+    rows = spread.groupBy("field", "bucket", "slice", "term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    rows = rows.select("field", "bucket", "term", "doc_id", F.size("positions").alias("tf"), "positions")
+    rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
+    postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
+
+    stats = postings.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    stats.sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{path}/term_stats")
+    write_text(spark, f"{path}/index.json", json.dumps({"buckets": buckets, "analyzer": analyzer.describe()}))
     return Index.open(spark, path)
 
 
@@ -143,40 +230,58 @@ def url_key(url: Column) -> Column:
 LINK = r"\[([^\]\n]*)\]\(([^)\s]+)\)"
 
 
+#: Parts of a long field; see ``placed_pieces``.
+PARTS = 1024
+
+
+def _links(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, anchor, address) of the links in the texts of (doc_id, text)."""
+    found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(LINK), F.lit(i)).alias(n) for i, n in ((1, "anchor"), (2, "address"))))
+    each = docs.where(F.col("text").contains("](")).select("doc_id", F.posexplode(found).alias("pos", "link"))
+    return each.select("doc_id", "pos", "link.anchor", "link.address")
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, indexed_at, raw_url, spam_score, deleted_at): of repeated records the one indexed last."""
+    rows = table(spark, folder, "doc_store").where("doc_id is not null")
+    state = F.max(F.struct("indexed_at", "raw_url", "spam_score", "deleted_at")).alias("s")
+    return rows.groupBy("doc_id").agg(state).select("doc_id", "s.*")
+
+
 def collection(spark: SparkSession, folder: str, live_only: bool = False) -> DataFrame:
-    """The pages of a data folder with the text of every field.
+    """The pages of a data folder with the text of every field but inlink.
 
     body and title are the page's own; url is the address of its record; keywords are the anchors of the
-    page's own links; inlink are the anchors of links on any page that lead to its address. Of repeated
-    records the one indexed last counts. ``live_only`` leaves out pages whose record is deleted.
+    page's own links. ``live_only`` leaves out pages whose record is deleted.
     """
     docs = table(spark, folder, "documents").where("doc_id is not null")
-    state = F.max(F.struct("indexed_at", "raw_url", "spam_score", "deleted_at")).alias("s")
-    records = table(spark, folder, "doc_store").where("doc_id is not null").groupBy("doc_id").agg(state).select("doc_id", "s.*")
-    pages = docs.select("doc_id", norm_id("ext_id").alias("ext_id"), F.col("text").alias("body"), "title").join(records, "doc_id", "left")
+    pages = docs.select("doc_id", norm_id("ext_id").alias("ext_id"), F.col("text").alias("body"), "title")
+    pages = pages.join(records(spark, folder), "doc_id", "left")
     if live_only:
         pages = pages.where("deleted_at is null")
-    anchors = docs.where(F.col("text").contains("](")).select(
-        "doc_id",
-        F.posexplode(
-            F.arrays_zip(
-                F.regexp_extract_all("text", F.lit(LINK), F.lit(1)).alias("anchor"),
-                F.regexp_extract_all("text", F.lit(LINK), F.lit(2)).alias("address"),
-            )
-        ).alias("pos", "link"),
-    ).select("doc_id", "pos", "link.anchor", "link.address")
-
-    def joined(*order: str) -> Column:
-        entry = F.sort_array(F.collect_list(F.struct(*order, "anchor")))
-        return F.array_join(F.transform(entry, lambda e: e["anchor"]), " ")
-
-    own = anchors.groupBy("doc_id").agg(joined("pos").alias("keywords"))
-    # the links are first joined per address, so that a much linked address is one row
-    texts = anchors.groupBy(url_key(F.col("address")).alias("key")).agg(joined("doc_id", "pos").alias("inlink"))
-    targets = records.where("raw_url is not null").select("doc_id", url_key(F.col("raw_url")).alias("key"))
-    led = targets.join(texts, "key").select("doc_id", "inlink")
-    full = pages.join(own, "doc_id", "left").join(led, "doc_id", "left")
-    return full.select("doc_id", "ext_id", "raw_url", "spam_score", "body", F.col("raw_url").alias("url"), "keywords", "title", "inlink")
+    anchors = F.array_join(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), " ")
+    own = F.when(F.col("body").contains("]("), anchors)
+    return pages.select("doc_id", "ext_id", "raw_url", "spam_score", "body", F.col("raw_url").alias("url"), own.alias("keywords"), "title")
+
+
+def inlinks(spark: SparkSession, folder: str, pages: DataFrame) -> DataFrame:
+    """(doc_id, field, part, place, text): of ``pages`` (doc_id, raw_url) the anchors of links on any page that lead to its address.
+
+    A row per link, in the order of the linking pages; an address that very many pages link to is joined by
+    broadcast and stays many rows.
+    """
+    links = _links(table(spark, folder, "documents").where("doc_id is not null"))
+    low, high = table(spark, folder, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = ((high or 0) - (low or 0)) // PARTS + 1
+    links = links.select(
+        url_key(F.col("address")).alias("key"), F.floor((F.col("doc_id") - F.lit(low or 0)) / width).alias("part"),
+        F.struct(F.col("doc_id").alias("from"), "pos").alias("place"), F.col("anchor").alias("text"),
+    )
+    links = materialize(links, "links")
+    sizes = links.groupBy("key").agg(F.count("*").alias("links"))
+    targets = pages.where("raw_url is not null").select("doc_id", url_key(F.col("raw_url")).alias("key")).join(sizes, "key")
+    led = lookup_join(links, materialize(targets, "link-targets"), ["key"], "links")
+    return led.select("doc_id", F.lit("inlink").alias("field"), "part", "place", "text")
 
 
 _built: dict[tuple[str, str, bool], Index] = {}
@@ -186,28 +291,36 @@ def index_of(spark: SparkSession, folder: str, live_only: bool = False) -> Index
     """The index of a data folder, built once per application into the shared folder."""
     key = (spark.sparkContext.applicationId, folder, live_only)
     if key not in _built:
-        _built[key] = build(collection(spark, folder, live_only), new_path(spark, "index"))
+        pages = collection(spark, folder, live_only)
+        _built[key] = build(pages, new_path(spark, "index"), pieces=inlinks(spark, folder, pages.select("doc_id", "raw_url")))
     return _built[key]
 
 
-def scan_hits(texts: DataFrame, terms: Sequence[T.Term]) -> DataFrame:
-    """The lists of a few terms straight from the texts, without an index and without a shuffle.
+def scan(texts: DataFrame, terms: Sequence[T.Term], analyzer: Analyzer = analysis.DEFAULT) -> Index:
+    """A small index of only the terms asked, straight from the texts and without a shuffle of tokens.
 
-    The same columns as ``postings``; every document is tokenised and filtered in one projection.
+    ``texts`` is (doc_id, ext_id and a text column per field). Every text is analysed once; what is kept of
+    it are its length and the positions of the terms.
     """
-    fields = sorted({t.field for t in terms})
-    toks = field_tokens(texts, fields)
-    numbered = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("pos")))
-    by_field: Mapping[str, list[str]] = {f: sorted({t.term for t in terms if t.field == f}) for f in fields}
-
-    def hits_of(word: str) -> Column:
-        return F.transform(F.filter(numbered, lambda h: h["term"] == word), lambda h: h["pos"])
-
-    each = [
-        F.when(F.col("field") == f, F.struct(F.lit(w).alias("term"), hits_of(w).alias("positions")))
-        for f, words in by_field.items()
-        for w in words
-    ]
-    flat = toks.select("doc_id", "field", F.explode(F.array_compact(F.array(*each))).alias("h"))
-    rows = flat.select("field", F.col("h.term").alias("term"), "doc_id", F.size("h.positions").alias("tf"), F.col("h.positions").alias("positions"))
-    return rows.where("tf > 0")
+    by_field: Mapping[str, list[str]] = {f: sorted({t.term for t in terms if t.field == f}) for f in sorted({t.field for t in terms})}
+
+    def hits(words: Column, field: str) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.cast("int").alias("pos")))
+        known = F.filter(numbered, lambda h: h["term"].isin(by_field[field]))
+
+        def of(word: str) -> Column:
+            own = F.transform(F.filter(known, lambda h: h["term"] == word), lambda h: h["pos"])
+            return F.struct(F.lit(field).alias("field"), F.lit(word).alias("term"), own.alias("positions"))
+
+        return F.filter(F.array(*map(of, by_field[field])), lambda h: F.size(h["positions"]) > 0)
+
+    words = texts.select("doc_id", "ext_id", *(analyzer.kept(F.col(f)).alias(f"w_{f}") for f in by_field))
+    lens = F.create_map(*(x for f in by_field for x in (F.lit(f), F.size(F.array_compact(f"w_{f}")).cast("long"))))
+    rows = words.select("doc_id", "ext_id", lens.alias("lens"), F.concat(*(hits(F.col(f"w_{f}"), f) for f in by_field)).alias("hits"))
+    rows = materialize(rows, "scan")
+    docs = rows.select("doc_id", "ext_id", F.map_filter("lens", lambda _, n: n > 0).alias("lens"))
+    sizes = docs.select(F.explode("lens").alias("field", "len")).groupBy("field")
+    flat = rows.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+    postings = flat.select("field", F.lit(0).alias("bucket"), "term", "doc_id", F.size("positions").alias("tf"), "positions")
+    stats = postings.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    return Index(docs, postings, stats, sizes.agg(F.count("*").alias("doc_count"), F.sum("len").alias("sum_ttf")), buckets=1, analyzer=analyzer)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftlight.functions.analysis import Analyzer
 from siftlight.operators import feedback, ranking
 from siftlight.plans import batch, rules
 from siftlight.plans import compile as C
@@ -13,7 +14,8 @@ from siftlight.plans import models as M
 from siftlight.plans import tree as T
 from siftlight.plans.parser import parse
 from siftlight.scratch import new_path
-from siftlight.sources.index import build, scan_hits
+from siftlight.sources import index as I
+from siftlight.sources.index import build, scan
 
 from tests.test_positional import near, window
 
@@ -162,12 +164,72 @@ def test_batch_equals_single(spark, index, model):
 
 
 def test_scan_equals_index(spark, index):
-    texts = spark.createDataFrame([(d[0], d[2], d[3]) for d in DOCS], "doc_id long, body string, title string")
-    tree = parse("#SUM(#NEAR/3(cat dog) fish cat.title)", M.BM25())
-    lists = scan_hits(texts, rules.terms([x for x in tree.args]))
-    a = {r.doc_id: r.score for r in C.evaluate(index, tree, M.BM25()).collect()}
-    b = {r.doc_id: r.score for r in C.evaluate(index, tree, M.BM25(), lists).collect()}
-    assert a == pytest.approx(b) and a
+    texts = spark.createDataFrame([d[:4] for d in DOCS], "doc_id long, ext_id string, body string, title string")
+    for model in (M.BM25(), M.Indri()):
+        tree = parse("#SUM(#NEAR/3(cat dog) fish cat.title)" if isinstance(model, M.BM25) else "#AND(#NEAR/3(cat dog) fish cat.title)", model)
+        found = scan(texts, rules.terms(list(tree.args)))
+        assert (found.stats("body"), found.stats("title"), found.n_docs) == (index.stats("body"), index.stats("title"), 40)
+        a = {r.doc_id: r.score for r in C.evaluate(index, tree, model).collect()}
+        b = {r.doc_id: r.score for r in C.evaluate(found, tree, model).collect()}
+        assert a == pytest.approx(b) and a
+
+
+def test_the_layout_grows_with_the_tokens(spark, index, monkeypatch):
+    """Small tasks make many buckets and slices, frequent terms lie in many files, and nothing else changes."""
+    monkeypatch.setattr(I, "MOST_BUCKETS", 8)
+    df = spark.createDataFrame(DOCS, "doc_id long, ext_id string, body string, title string")
+    fine = build(df, new_path(spark, "test-index"), ("body", "title"), task_tokens=20)
+    columns = ["field", "term", "doc_id", "tf", "positions"]
+    rows = [sorted(map(tuple, x.postings.select(*columns).collect())) for x in (index, fine)]
+    assert rows[0] == rows[1]
+    files = {r.term: r.n for r in fine.postings.where("field = 'body'").select("term", F.input_file_name().alias("f")).distinct().groupBy("term").agg(F.count("*").alias("n")).collect()}
+    assert max(files.values()) > 1
+    assert fine.lists([T.Term("cat")]).count() == index.lists([T.Term("cat")]).count() > 0
+    for buckets, tokens in ((8, 2_000_000), (32, 5)):
+        monkeypatch.setattr(I, "MOST_BUCKETS", 32)
+        assert build(df, new_path(spark, "test-index"), ("body", "title"), task_tokens=tokens).buckets == buckets
+
+
+def test_pieces_are_placed_like_one_text(spark):
+    """An address with very many links: every link's words stand where they would in the joined text."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice([*WORDS, "the"]) for _ in range(rnd.randint(0, 4))) for _ in range(5000)]
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, ext_id string")
+    rows = [(1, "inlink", i // 7, i, t) for i, t in enumerate(texts)] + [(2, "inlink", 0, 0, "cat the dog"), (2, "inlink", 3, 9, None)]
+    pieces = spark.createDataFrame(rows, "doc_id long, field string, part long, place long, text string")
+    got = build(docs, new_path(spark, "test-index"), (), pieces.repartition(5))
+    joined = " ".join(texts).split()
+    want = {w: [p for p, x in enumerate(joined) if x == w] for w in set(joined) - STOP}
+    assert {r.term: r.positions for r in got.postings.where("doc_id = 1").collect()} == want
+    assert {r.term: r.positions for r in got.postings.where("doc_id = 2").collect()} == {"cat": [0], "dog": [2]}
+    assert got.docs.where("doc_id = 1").first().lens == {"inlink": sum(map(len, want.values()))}
+
+
+def test_lookups_start_no_job(spark, index):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "")
+    plan = index.lists([T.Term("cat"), T.Term("dog", "title")])
+    assert not tracker.getJobIdsForGroup("lookup")
+    assert "PartitionFilters" in plan._jdf.queryExecution().toString() and "xxhash64" not in plan._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_stemmed_index(spark):
+    """Index and queries share the analyzer, also after opening."""
+    docs = spark.createDataFrame([(1, "a", "the hopping cats"), (2, "b", "a cat hops"), (3, "c", "hope")], "doc_id long, ext_id string, body string")
+    path = new_path(spark, "test-index")
+    build(docs, path, ("body",), analyzer=Analyzer(stemmer="porter"))
+    got = I.Index.open(spark, path)
+    node = parse("#AND(hopped cats)", M.RankedBoolean(), got.analyzer)
+    assert {r.doc_id for r in C.evaluate(got, node, M.RankedBoolean()).collect()} == {1, 2}
+    queries = spark.createDataFrame([(1, "hopped cats")], "qid int, query string")
+    assert {r.doc_id for r in batch.evaluate_all(got, queries, M.RankedBoolean()).scores.collect()} == {1, 2}
+
+
+def test_empty_collection(spark):
+    docs = spark.createDataFrame([], "doc_id long, ext_id string, body string")
+    got = build(docs, new_path(spark, "test-index"), ("body",))
+    assert got.n_docs == 0 and C.evaluate(got, parse("cat", M.BM25()), M.BM25()).count() == 0
 
 
 def test_counts_keep_empty_documents(index):
