@@ -59,12 +59,12 @@ def term_scores(
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def learned_text(terms: DataFrame) -> DataFrame:
-    """(qid, learned): the expansion as query text, terms by rank."""
-    pair = F.concat_ws(" ", F.format_string("%.12f", "score"), "term")
+def learned_text(terms: DataFrame, by: Sequence[str] = ("qid",), form: str = "%.12f") -> DataFrame:
+    """(by, learned): the expansion as query text, terms by rank, weights in the given form."""
+    pair = F.concat_ws(" ", F.format_string(form, "score"), "term")
     got = F.array_sort(F.collect_list(F.struct("rank", pair.alias("p"))))
     body = F.array_join(F.transform(got, lambda e: e["p"]), " ")
-    return terms.groupBy("qid").agg(F.concat(F.lit("#WAND( "), body, F.lit(" )")).alias("learned"))
+    return terms.groupBy(*by).agg(F.concat(F.lit("#WAND( "), body, F.lit(" )")).alias("learned"))
 
 
 def expanded(original: T.Node, terms: list[tuple[str, float]], weight: float, model: Model) -> T.Node:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from siftlight.functions import analysis, urls
 from siftlight.functions.ids import finite, norm_id
-from siftlight.operators import feedback, letor, ranking
+from siftlight.operators import feedback, letor, ranking, vectors
 from siftlight.plans import batch, rules
 from siftlight.plans import compile as C
 from siftlight.plans import models as M
 from siftlight.plans import tree as T
 from siftlight.plans.parser import parse
-from siftlight.scratch import materialize
+from siftlight.scratch import materialize, new_path
 from siftlight.sources import files
 from siftlight.sources.index import index_of, scan
 from siftlight.sources.tables import table
@@ -92,12 +92,15 @@ def live_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_vector(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the pages in probe_docs only, like its SQL; ``term_vector_all`` has every page."""
-    return index_of(spark, folder).vectors(table(spark, folder, "probe_docs"))
+    return index_of(spark, folder).vectors()
 
 
-def term_vector_all(spark: SparkSession, folder: str) -> DataFrame:
-    return index_of(spark, folder).vectors()
+def vector_stems(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.stems(index_of(spark, folder))
+
+
+def vector_positions(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.positions(index_of(spark, folder))
 
 
 def vector_accessors(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,6 +131,13 @@ def analyze_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return words.groupBy("token").agg(F.count("*").alias("n"), F.max(analysis.is_stop(F.col("token"))).alias("stop"))
 
 
+def analyze_tokens_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of the texts under an analyzer with stems; words of one distinct form are stemmed once a batch."""
+    docs = table(spark, folder, "documents")
+    words = docs.select(F.explode(F.array_compact(analysis.Analyzer(stemmer="porter").kept(F.col("text")))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n"))
+
+
 def external_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = index_of(spark, folder).docs.select("doc_id", "ext_id")
     return docs.join(letor.judged(table(spark, folder, "qrels")).select("ext_id").distinct(), "ext_id")
@@ -185,14 +195,41 @@ def dummy_row(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return files.run_lines(dummy_row(spark, folder))
-
-
-def run_lines_all(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of the whole run of plain queries, ``dummy`` rows included."""
     return files.run_lines(ranking.run_rows(_bag_run(spark, folder), _plain(spark, folder)))
 
 
+def file_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Query texts through a file; a text of several lines can't stand in one."""
+    path = new_path(spark, "queries-file")
+    rows = table(spark, folder, "queries").where("query not like '%\n%' and query not like '%\r%'")
+    files.write_lines(rows, path, ("qid", "query"), ":")
+    return files.read_queries(spark, path).select("qid", "query")
+
+
+def file_qrels(spark: SparkSession, folder: str) -> DataFrame:
+    """Judgements through a file; ids and labels without inner blanks."""
+    path = new_path(spark, "qrels-file")
+    rows = table(spark, folder, "qrels").select("qid", F.coalesce(F.expr("nullif(trim(iter), '')"), F.lit("0")).alias("iter"), norm_id("ext_id").alias("ext_id"), "rel")
+    files.write_lines(rows, path, ("qid", "iter", "ext_id", "rel"))
+    return files.read_qrels(spark, path)
+
+
+def file_pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "pagerank-file")
+    rows = table(spark, folder, "pagerank").select(norm_id("ext_id").alias("ext_id"), finite("pagerank").alias("pagerank"))
+    files.write_lines(rows, path, ("ext_id", "pagerank"))
+    return files.read_pagerank(spark, path)
+
+
+def file_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all runs through a run file: how often each item stands there with each score."""
+    path = new_path(spark, "run-file")
+    rows = table(spark, folder, "runs").select("qid", "q0", norm_id("ext_id").alias("ext_id"), F.coalesce("rank_no", F.lit(0)).alias("rank"), finite("score").alias("score"), "run_id")
+    files.write_run(rows.dropna(subset=["qid", "ext_id", "score"]).fillna("Q0", ["q0"]), path)
+    return files.read_run(spark, path).groupBy("qid", "ext_id", "score").agg(F.count("*").alias("n"))
+
+
 #: What tells the rankings of the runs table apart.
 RANKING = ("run_id", "qid")
 
@@ -211,11 +248,7 @@ def _initial(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def initial_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    """Of run-001 only, like its SQL; ``initial_ranking_all`` has every run."""
-    return _initial(spark, folder).where("run_id = 'run-001'").select("qid", "doc_id", "score")
-
-
-def initial_ranking_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The first documents of every ranking of the runs table."""
     return _initial(spark, folder)
 
 
@@ -239,17 +272,11 @@ def prf_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prf_all_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """The queries of run-001 that have an expansion, like its SQL; ``prf_terms_all`` has the terms of every run."""
-    index = index_of(spark, folder)
-    first = materialize(_initial(spark, folder).where("run_id = 'run-001'"), "prf-docs")
-    return feedback.learned_text(feedback.term_scores(index, first, FB_MU, FB_TERMS)).select("qid")
-
-
-def prf_terms_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The expansion terms of every ranking, whatever the size of its scores."""
+    """The expansion of every ranking, whatever the size of its scores: its terms, and the text they make."""
     first = materialize(_initial(spark, folder), "prf-docs")
-    terms = feedback.term_scores(index_of(spark, folder), first, FB_MU, FB_TERMS, RANKING, FB_DIGITS)
-    return terms.select(*RANKING, "term", "rank", "score")
+    terms = materialize(feedback.term_scores(index_of(spark, folder), first, FB_MU, FB_TERMS, RANKING, FB_DIGITS), "prf-terms")
+    texts = feedback.learned_text(terms, RANKING, f"%.{FB_DIGITS - 1}e")
+    return terms.join(texts, list(RANKING)).select(*RANKING, "term", "rank", "score", "learned")
 
 
 def ltr_url_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,11 +297,6 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
 
 
 def ltr_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Of plain queries only, like its SQL; ``ltr_features_all`` has every query."""
-    return _feature_rows(_letor(spark, folder, _plain(spark, folder)))
-
-
-def ltr_features_all(spark: SparkSession, folder: str) -> DataFrame:
     return _feature_rows(_letor(spark, folder, _queries(spark, folder)))
 
 
@@ -294,31 +316,34 @@ def ltr_svmlight(spark: SparkSession, folder: str) -> DataFrame:
     return letor.svmlight(_normalized(spark, folder), disabled=(7, 10, 13, 16))
 
 
-def ltr_rerank(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _normalized(spark, folder)
-    return letor.reranked(rows, letor.train(rows))
+#: Weights of a given model, for re-ranking without training.
+GIVEN = [round(0.05 * i - 0.3, 2) for i in range(1, 19)]
 
 
-def svm_weights(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "features").select(
-        F.col("rel").cast("double").alias("alpha"),
-        F.map_from_arrays(F.array(*(F.lit(i) for i in (2, 3, 17, 18))), F.array(*(F.coalesce(finite(c), F.lit(0.0)) for c in ("f2", "f3", "f17", "f18")))).alias("values"),
-    ).where("alpha is not null")
-    return letor.svm_weights(rows).select("feature", F.round("weight", 6).alias("weight"))
+def ltr_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the features table under a given model."""
+    return letor.reranked(_normalized(spark, folder), GIVEN)
 
 
-def _tf_df(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
-    scores = letor.tf_df_score(index_of(spark, folder), letor.bags(queries))
-    return scores.select("qid", "doc_id", F.round("score", 9).alias("score"))
+def ltr_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """A model trained on the queries of the features table re-ranks the BM25 candidates of all other queries."""
+    judged = _normalized(spark, folder)
+    others = _queries(spark, folder).join(judged.select("qid").distinct(), "qid", "left_anti")
+    return letor.ranked_by_model(index_of(spark, folder), others, table(spark, folder, "pagerank"), letor.train(judged), LETOR)
 
 
-def tf_df_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Of plain queries only, like its SQL; ``tf_df_score_all`` has every query."""
-    return _tf_df(spark, folder, _plain(spark, folder))
+def svm_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """The weights of a model file with a support vector for every row of the features table."""
+    path = new_path(spark, "model-file")
+    values = F.map_from_arrays(F.array(*(F.lit(i) for i in range(1, 19))), F.array(*(F.coalesce(finite(c), F.lit(0.0)) for c in letor.FEATURES)))
+    rows = table(spark, folder, "features").select(F.col("rel").cast("double").alias("alpha"), values.alias("values"))
+    files.write_svm_model(rows.where("alpha is not null"), path)
+    return letor.svm_weights(files.read_svm_model(spark, path)).select("feature", F.round("weight", 6).alias("weight"))
 
 
-def tf_df_score_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _tf_df(spark, folder, _queries(spark, folder))
+def tf_df_score(spark: SparkSession, folder: str) -> DataFrame:
+    scores = letor.tf_df_score(index_of(spark, folder), letor.bags(_queries(spark, folder)))
+    return scores.select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
 def avg_stem_len(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,8 +360,8 @@ def queries() -> dict[str, Query]:
                 analyze_tokens, external_ids, unmatched_ids, topk_run, load_queries, parse_queries, bag_run, dummy_row,
                 run_lines, initial_ranking, prf_terms, prf_rerank, prf_all_queries, ltr_url_features, ltr_features,
                 ltr_normalized, ltr_svmlight, ltr_rerank, svm_weights, tf_df_score, avg_stem_len,
-                ltr_features_all, tf_df_score_all, initial_ranking_all, prf_terms_all, term_vector_all,
-                run_lines_all,
+                vector_stems, vector_positions, analyze_tokens_stemmed, file_queries, file_qrels, file_pagerank, file_run,
+                ltr_pipeline,
             )
         },
         "batch_run": _batch(INDRI),

@@ -163,12 +163,6 @@ def _with(sql: str) -> str:
 
 _LATEST = "select qid, query from (select *, row_number() over (partition by qid order by ord desc, query desc nulls last) as k from queries where qid is not null) where k = 1"
 
-_FILE_RUN = f"""
-line as (
-  select qid, lower(trim(ext_id)) as ext_id, score,
-         row_number() over (partition by qid order by rank_no nulls last, score desc, lower(trim(ext_id))) as k
-  from runs where run_id = 'run-001' and score is not null and not isnan(score))"""
-
 _FILE_RUNS = """
 line as (
   select run_id, qid, item as ext_id, score,
@@ -195,11 +189,7 @@ best as (select *, row_number() over (order by score desc, term) as rank from le
     return f"with recursive {_BASE},\n" + ",\n".join(made.parts) + "," + more + final
 
 
-#: The texts that count as plain queries.
-_PLAIN = " and not starts_with(ltrim(query), '#')"
-
-
-def _letor(only: str = _PLAIN) -> str:
+def _letor() -> str:
     m = Q.LETOR
     per = f"""
 select pair.qid, pair.doc_id, f.field,
@@ -225,7 +215,7 @@ group by pair.qid, pair.doc_id, f.field, dl.len"""
     wide = ", ".join(f"{v} as {k}" for k, v in cols.items())
     return _with(f""",
 q as ({_LATEST}),
-word as (select qid, unnest({_tokens("query")}) as term from q where query is not null{only}),
+word as (select qid, unnest({_tokens("query")}) as term from q where query is not null),
 bag0 as (select qid, term, count(*) as qtf from word where term <> '' and term not in ({_STOP}) group by all),
 bag as (select *, sum(qtf) over (partition by qid) as qlen from bag0),
 jd as (
@@ -248,10 +238,10 @@ select pair.qid, pair.ext_id, pair.rel, round(spam_score::double, 12) as f1,
 from pair join wide using (qid, doc_id) left join pr using (ext_id)""").replace(_BASE + "\n,", _BASE + ",")
 
 
-def _tf_df(only: str = _PLAIN) -> str:
+def _tf_df() -> str:
     return _with(f""",
 q as ({_LATEST}),
-word as (select qid, unnest({_tokens("query")}) as term from q where query is not null{only}),
+word as (select qid, unnest({_tokens("query")}) as term from q where query is not null),
 bag as (select distinct qid, term from word where term <> '' and term not in ({_STOP})),
 tfs as (select doc_id, term, count(*) as tf from post where field = 'body' group by all)
 select qid, doc_id, round(1 + sum(tf / df), 9) as score from bag join tfs using (term) join ts on ts.term = bag.term and ts.field = 'body'
@@ -274,8 +264,11 @@ where (field = 'body' and term in ('map', 'travel')) or (field = 'title' and ter
     out["live_postings"] = _with("""
 select term, count(distinct doc_id) as df, count(*) as ctf from post
 where field = 'body' and doc_id in (select doc_id from page where deleted_at is null) group by term""")
-    out["term_vector"] = _with("select doc_id, field, term, count(*) as tf from post where doc_id in (select doc_id from probe_docs) group by all")
-    out["term_vector_all"] = _with("select doc_id, field, term, count(*) as tf from post group by all")
+    out["term_vector"] = _with("select doc_id, field, term, count(*) as tf from post group by all")
+    out["vector_stems"] = _with("""
+select doc_id, field, row_number() over (partition by doc_id, field order by term) as i, term as stem, freq, df, ctf
+from (select doc_id, field, term, count(*) as freq from post group by all) join ts using (field, term)""")
+    out["vector_positions"] = _with("select doc_id, field, pos, term as stem from post")
     out["vector_accessors"] = """
 select distinct doc_id, indexed_at, len(list_filter(stems, lambda s: s is not null)) as stems, list_sum(stems_freq) as occurrences
 from term_vectors where field = 'body'"""
@@ -301,14 +294,17 @@ sc as (
 select qid, ext_id, row_number() over (partition by qid order by score desc, ext_id) as rank, score
 from sc join page using (doc_id) qualify rank <= 100""").replace(_BASE + "\n,", _BASE + ",")
     out["dummy_row"] = "select 10 as qid, 'Q0' as q0, 'dummy' as ext_id, 1 as rank, 0.0::double as score, 'run-1' as run_id"
-    out["run_lines"] = "select concat_ws(chr(9), '10', 'Q0', 'dummy', '1', '0.0', 'run-1') as value"
-    out["initial_ranking"] = f"with {_FILE_RUN} select qid, doc_id, score from line join (select doc_id, lower(trim(ext_id)) as ext_id from documents) using (ext_id) where k <= {Q.FB_DOCS}"
-    out["initial_ranking_all"] = f"with {_FILE_RUNS} select run_id, qid, doc_id, score from line join (select doc_id, lower(trim(ext_id)) as ext_id from documents) using (ext_id) where k <= {Q.FB_DOCS}"
+    out["initial_ranking"] = f"with {_FILE_RUNS} select run_id, qid, doc_id, score from line join (select doc_id, lower(trim(ext_id)) as ext_id from documents) using (ext_id) where k <= {Q.FB_DOCS}"
+    out["file_queries"] = "select qid, trim(query) as query from queries where qid is not null and query is not null and not contains(query, chr(10)) and not contains(query, chr(13))"
+    out["file_qrels"] = """
+select qid, coalesce(nullif(trim(iter), ''), '0') as iter, lower(trim(ext_id)) as ext_id, rel
+from qrels where qid is not null and trim(ext_id) <> '' and rel is not null"""
+    out["file_pagerank"] = "select lower(trim(ext_id)) as ext_id, pagerank from pagerank where trim(ext_id) <> '' and pagerank is not null and not isnan(pagerank)"
+    out["file_run"] = """
+select qid, lower(trim(ext_id)) as ext_id, score, count(*) as n
+from runs where qid is not null and trim(ext_id) <> '' and score is not null and not isnan(score) group by all"""
     out["prf_terms"] = _prf("\nselect term, rank, round(score * 1e6, 4) as score from best")
-    out["prf_all_queries"] = f"""
-with {_FILE_RUN} select distinct qid from line join (select doc_id, lower(trim(ext_id)) as ext_id, text from documents) using (ext_id)
-where k <= {Q.FB_DOCS} and len(list_filter({_tokens("text")}, lambda w: w <> '' and w not in ({_STOP}))) > 0"""
-    out["prf_terms_all"] = _with(f""",
+    out["prf_all_queries"] = _with(f""",
 {_FILE_RUNS},
 fb as (select run_id, qid, doc_id, score from line join page using (ext_id) where k <= {Q.FB_DOCS}),
 body as (select doc_id, term, count(*) as tf from post where field = 'body' group by all),
@@ -318,9 +314,12 @@ learned as (
   from cand c join fb on fb.run_id = c.run_id and fb.qid = c.qid
   join (select term, ctf / (select sum_ttf from fs where field = 'body') as p from ts where field = 'body') pt on pt.term = c.term
   left join body b on b.doc_id = fb.doc_id and b.term = c.term
-  left join (select * from dl where field = 'body') dl on dl.doc_id = fb.doc_id group by all)
-select run_id, qid, term, row_number() over (partition by run_id, qid order by score desc, term) as rank, score
-from learned qualify rank <= {Q.FB_TERMS}""").replace(_BASE + "\n,", _BASE + ",")
+  left join (select * from dl where field = 'body') dl on dl.doc_id = fb.doc_id group by all),
+best as (
+  select run_id, qid, term, row_number() over (partition by run_id, qid order by score desc, term) as rank, score
+  from learned qualify rank <= {Q.FB_TERMS})
+select *, '#WAND( ' || string_agg(printf('%.{Q.FB_DIGITS - 1}e', score) || ' ' || term, ' ' order by rank) over (
+  partition by run_id, qid rows between unbounded preceding and unbounded following) || ' )' as learned from best""").replace(_BASE + "\n,", _BASE + ",")
     out["prf_rerank"] = _prf(f""",
 wt as (select term, {1 - Q.FB_WEIGHT} * score / (select sum(score) from best) as w from best),
 lp as (
@@ -335,7 +334,6 @@ select doc_id, (length(coalesce(raw_url, '')) - length(replace(coalesce(raw_url,
   case when contains(raw_url, '.edu') or contains(raw_url, '.mil') then 1.0 when contains(raw_url, '.org') then 0.95 else 0.0 end::double as f17
 from page""")
     out["ltr_features"] = _letor()
-    out["ltr_features_all"] = _letor("")
     item = ", ".join(f"max(case when not isnan({f}) then {f} end) as {f}" for f in FEATURES)
     scaled = ", ".join(
         f"round(coalesce(case when max({f}) over w > min({f}) over w then ({f} - min({f}) over w) / (max({f}) over w - min({f}) over w) end, 0), 9) as {f}"
@@ -351,9 +349,12 @@ from page""")
     text = ", ".join(f"printf('{i}:%.6f', f{i})" for i in on)
     out["ltr_svmlight"] = f"select concat_ws(' ', rel::varchar, 'qid:' || qid, {text}, '#', ext_id) as line from (select qid, ext_id, rel, {raw} from ({items}) window w as (partition by qid))"
     out["svm_weights"] = " union all ".join(
-        f"select {i} as feature, round(sum(rel * coalesce(case when not isnan(f{i}) then f{i} end, 0)), 6) as weight from features where rel is not null" for i in (2, 3, 17, 18)
+        f"select {i} as feature, round(sum(rel * coalesce(case when not isnan(f{i}) then f{i} end, 0)), 6) as weight from features where rel is not null" for i in range(1, 19)
     )
+    total = " + ".join(f"{w} * f{i}" for i, w in enumerate(Q.GIVEN, 1))
+    out["ltr_rerank"] = f"""
+select qid, ext_id, score, row_number() over (partition by qid order by score desc, ext_id nulls first) as rank
+from (select qid, ext_id, round({total}, 9) as score from (select qid, ext_id, {raw} from ({items}) window w as (partition by qid)))"""
     out["tf_df_score"] = _tf_df()
-    out["tf_df_score_all"] = _tf_df("")
     out["avg_stem_len"] = _with("select doc_id, round(avg(length(term)), 9) as length from post where field = 'body' group by 1")
     return out

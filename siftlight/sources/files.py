@@ -72,21 +72,26 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     ).where("qid is not null")
 
 
-#: Lines of a model file before its support vectors (a fixed value of the format).
-MODEL_HEADER = 11
+#: A support vector of a model file: its weight, then numbered values; and the line that names the kernel.
+_VECTOR = r"^\s*[-+0-9.eE]+(?:\s+qid:\S+)?(?:\s+\d+:[-+0-9.eE]+)+\s*$"
+_KERNEL = r"^\s*(\S+)\s*#\s*kernel(?:\s+type)?\s*$"
 
 
-def read_svm_model(lines: Iterable[str], spark: SparkSession) -> DataFrame:
-    """(alpha, values) of a linear model file; another kernel raises ValueError."""
-    rows = []
-    for n, line in enumerate(lines):
-        text = line.split("#")[0].split()
-        if n == 1 and text and text[0] != "0":
-            raise ValueError("only the linear kernel has weights")
-        if n >= MODEL_HEADER and text:
-            pairs = (p.split(":") for p in text[1:] if not p.startswith("qid:"))
-            rows.append((float(text[0]), {int(k): float(v) for k, v in pairs}))
-    return spark.createDataFrame(rows, "alpha double, values map<int, double>")
+def read_svm_model(spark: SparkSession, path: str) -> DataFrame:
+    """(alpha, values) of a model file, a row per support vector; another than the linear kernel raises ValueError.
+
+    Lines of the header are told from support vectors by their form, so the file is read by the executors
+    however many vectors it has.
+    """
+    lines = _lines(spark, path)
+    kernel = lines.select(F.regexp_extract("value", _KERNEL, 1).alias("k")).where("k <> ''").limit(1).collect()
+    if kernel and kernel[0]["k"] != "0":
+        raise ValueError("only the linear kernel has weights")
+    body = F.regexp_replace("value", "#.*$", "")
+    words = F.split(F.trim(body), r"\s+")
+    pairs = F.filter(F.slice(words, 2, F.size(words)), lambda w: ~w.startswith("qid:"))
+    each = F.transform(pairs, lambda w: F.struct(F.split(w, ":")[0].cast("int").alias("k"), F.split(w, ":")[1].cast("double").alias("v")))
+    return lines.where(body.rlike(_VECTOR)).select(words[0].cast("double").alias("alpha"), F.map_from_entries(each).alias("values"))
 
 
 def run_lines(run: DataFrame) -> DataFrame:
@@ -105,6 +110,22 @@ def write_expansions(learned: DataFrame, path: str, mode: str = "overwrite") ->
     learned.orderBy("qid").select(line.alias("value")).write.mode(mode).text(path)
 
 
+def write_svm_model(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(alpha, values) as a model file of the linear kernel, with the lines of the header that are read."""
+    order = F.array_sort(F.map_entries("values"))
+    text = F.array_join(F.transform(order, lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), " ")
+    lines = vectors.select(F.concat_ws(" ", F.col("alpha").cast("string"), text, F.lit("#")).alias("value"))
+    head = vectors.sparkSession.createDataFrame([("SVM-light",), ("0 # kernel type",)], "value string").coalesce(1)
+    head.unionByName(lines).write.mode(mode).text(path)
+
+
+def write_lines(rows: DataFrame, path: str, columns: Iterable[str], mark: str = " ", mode: str = "overwrite") -> None:
+    """The columns of rows that have all of them, divided by ``mark``: queries, judgements, PageRank values."""
+    columns = list(columns)
+    line = F.concat_ws(mark, *(F.col(c).cast("string") for c in columns))
+    rows.dropna(subset=columns).select(line.alias("value")).write.mode(mode).text(path)
+
+
 def write_features(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The lines of ``letor.svmlight``."""
     lines.write.mode(mode).text(path)

@@ -31,12 +31,17 @@ def test_writers_overwrite(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "e")).first().value == "3: #WAND( 1 x )"
 
 
-def test_svm_model(spark):
-    lines = ["SVM", "0 # kernel", *["h"] * 9, "0.5 qid:1 1:2 3:4 #", "-1 1:1 #"]
-    got = {r.feature: r.weight for r in letor.svm_weights(files.read_svm_model(lines, spark)).collect()}
-    assert got == {1: 0.0, 3: 2.0}
+def test_svm_model(spark, tmp_path):
+    path = tmp_path / "model"
+    path.write_text("\n".join(["SVM", "0 # kernel type", "3 # kernel parameter -d", *["h"] * 8, "0.5 qid:1 1:2 3:4 #", "-1 1:1 #", "2e-1 2:-1.5 # x"]))
+    got = {r.feature: r.weight for r in letor.svm_weights(files.read_svm_model(spark, str(path))).collect()}
+    assert got == {1: 0.0, 3: 2.0, 2: pytest.approx(-0.3)}
+    path.write_text("SVM\n1 # kernel type\n1 1:1 #")
     with pytest.raises(ValueError, match="linear"):
-        files.read_svm_model(["SVM", "1 # kernel"], spark)
+        files.read_svm_model(spark, str(path))
+    rows = spark.createDataFrame([(0.5, {1: 2.0, 12: -1e-9}), (-2.0, {})], "alpha double, values map<int, double>")
+    files.write_svm_model(rows, str(tmp_path / "written"))
+    assert [(r.alpha, r["values"]) for r in files.read_svm_model(spark, str(tmp_path / "written")).collect()] == [(0.5, {1: 2.0, 12: -1e-9})]
 
 
 def test_normalized_and_lines(spark):
