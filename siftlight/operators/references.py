@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlight.functions.ids import norm_id
-from siftlight.operators.bloom import MAX_BITS, BloomFilter
+from siftlight.operators.bloom import BloomFilter
 from siftlight.scratch import materialize
 
 
@@ -28,7 +28,7 @@ def references(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return rows.groupBy("tab", "ext_id", "t").agg(F.count("*").alias("n"))
 
 
-def orphans(refs: DataFrame, records: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def orphans(refs: DataFrame, records: DataFrame, max_bits: int | None = None) -> DataFrame:
     """(tab, ext_id, t, n, why) of the references that have no live record at their time.
 
     A record is live from ``indexed_at`` until before ``deleted_at`` (null: for ever). ``why`` is
@@ -37,8 +37,10 @@ def orphans(refs: DataFrame, records: DataFrame, max_bits: int = MAX_BITS) -> Da
     never live either. Repeated records change nothing.
 
     A broadcast Bloom filter of the record ids settles the references to ids it doesn't hold. Only the
-    others are matched exactly: references and changes meet by id and day, where a running count of live
-    records is kept, carried over from the days before. A task thus gets one day of an id, never a whole id.
+    others are matched exactly: references and changes meet by id and hour, where a running count of live
+    records is kept, carried over from the hours before. A task thus gets one hour of an id, never a whole id;
+    equal times of an id are one row. With more ids than a filter of ``max_bits`` can serve all references
+    are matched that way.
     """
     records = records.select(
         norm_id("ext_id").alias("ext_id"), F.col("indexed_at").cast("timestamp").alias("a"),
@@ -50,7 +52,7 @@ def orphans(refs: DataFrame, records: DataFrame, max_bits: int = MAX_BITS) -> Da
     tested = materialize(refs.withColumn("seen", seen), "references")
     columns = ["tab", "ext_id", "t", "n"]
     proved = tested.where("not seen").select(*columns, F.lit("missing").alias("why"))
-    open_ = tested.where("seen").withColumn("day", F.to_date("t"))
+    open_ = tested.where("seen").withColumn("hour", F.date_trunc("hour", "t"))
 
     # what an id's records change at a time: live ones, and ones that have begun
     lasting = F.col("z").isNull() | (F.col("z") > F.col("a"))
@@ -62,25 +64,25 @@ def orphans(refs: DataFrame, records: DataFrame, max_bits: int = MAX_BITS) -> Da
     )
     changes = begun.unionByName(ended).groupBy("ext_id", "t").agg(
         F.sum("live").alias("live"), F.sum("begun").alias("begun")
-    ).withColumn("day", F.to_date("t"))
+    ).withColumn("hour", F.date_trunc("hour", "t"))
 
-    # state of an id at the start of each day that has a reference
-    days = changes.groupBy("ext_id", "day").agg(F.sum("live").alias("live"), F.sum("begun").alias("begun"))
-    days = days.withColumns({"known": F.lit(1), "asked": F.lit(0)})
+    # state of an id at the start of each hour that has a reference
+    hours = changes.groupBy("ext_id", "hour").agg(F.sum("live").alias("live"), F.sum("begun").alias("begun"))
+    hours = hours.withColumns({"known": F.lit(1), "asked": F.lit(0)})
     exists = records.where("a is null").select("ext_id").distinct().select(
-        "ext_id", F.lit(None).cast("date").alias("day"), F.lit(0).cast("long").alias("live"),
+        "ext_id", F.lit(None).cast("timestamp").alias("hour"), F.lit(0).cast("long").alias("live"),
         F.lit(0).cast("long").alias("begun"), F.lit(1).alias("known"), F.lit(0).alias("asked"),
     )
-    asked = open_.select("ext_id", "day").distinct().withColumns(
+    asked = open_.select("ext_id", "hour").distinct().withColumns(
         {"live": F.lit(0).cast("long"), "begun": F.lit(0).cast("long"), "known": F.lit(0), "asked": F.lit(1)}
     )
-    both = days.unionByName(exists).unionByName(asked).groupBy("ext_id", "day").agg(
+    both = hours.unionByName(exists).unionByName(asked).groupBy("ext_id", "hour").agg(
         *(F.sum(c).alias(c) for c in ("live", "begun")), *(F.max(c).alias(c) for c in ("known", "asked"))
     )
     per_id = Window.partitionBy("ext_id")
-    earlier = per_id.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_id.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = both.select(
-        "ext_id", "day", "asked",
+        "ext_id", "hour", "asked",
         F.coalesce(F.sum("live").over(earlier), F.lit(0)).alias("live"),
         F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("begun"),
         F.max("known").over(per_id).alias("known"),
@@ -88,20 +90,20 @@ def orphans(refs: DataFrame, records: DataFrame, max_bits: int = MAX_BITS) -> Da
 
     # rank: the carried state first, then changes, then the references that see them
     empty = {"tab": F.lit(None).cast("string"), "n": F.lit(None).cast("long")}
-    start = carried.select("ext_id", "day", "live", "begun", "known").withColumns(
+    start = carried.select("ext_id", "hour", "live", "begun", "known").withColumns(
         {"t": F.lit(None).cast("timestamp"), "rank": F.lit(0), **empty}
     )
     inside = changes.withColumns({"known": F.lit(0), "rank": F.lit(1), **empty})
-    ask = open_.select(*columns, "day").withColumns(
+    ask = open_.select(*columns, "hour").withColumns(
         {"live": F.lit(0).cast("long"), "begun": F.lit(0).cast("long"), "known": F.lit(0), "rank": F.lit(2)}
     )
-    per_day = Window.partitionBy("ext_id", "day")
-    so_far = per_day.orderBy("t", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_hour = Window.partitionBy("ext_id", "hour")
+    so_far = per_hour.orderBy("t", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = start.unionByName(inside).unionByName(ask).withColumns(
         {
             "is_live": F.sum("live").over(so_far),
             "has_begun": F.sum("begun").over(so_far),
-            "is_known": F.max("known").over(per_day),
+            "is_known": F.max("known").over(per_hour),
         }
     )
     why = F.when(F.col("is_known") == 0, "missing").when(F.col("has_begun") > 0, "deleted").otherwise("late")

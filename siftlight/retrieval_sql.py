@@ -248,11 +248,56 @@ select qid, doc_id, round(1 + sum(tf / df), 9) as score from bag join tfs using
 group by 1, 2""").replace(_BASE + "\n,", _BASE + ",")
 
 
+#: Lists of terms in the body, with the statistics that scores need.
+_TF = """,
+tf as (
+  select p.doc_id, p.term, p.tf, ts.df, ts.ctf, dl.len, fs.average, fs.sum_ttf, n.n
+  from (select doc_id, term, count(*) as tf from post where field = 'body' group by all) p join ts on ts.term = p.term and ts.field = 'body'
+  join dl on dl.doc_id = p.doc_id and dl.field = 'body' join fs on fs.field = 'body' cross join n)"""
+
+
+def _by_hand(sql: str) -> str:
+    return f"with {_BASE}{_TF}\n{sql}"
+
+
+def _indri_by_hand(weights: dict[str, float]) -> str:
+    """A weighted product over all documents that hold one of the terms."""
+    rows = ", ".join(f"('{w}', {x!r})" for w, x in weights.items())
+    return _by_hand(f""", asked(term, w) as (values {rows}),
+hit as (select distinct doc_id from tf where term in (select term from asked)),
+p as (select a.term, a.w, coalesce(ts.ctf, 0) / (select sum_ttf from fs where field = 'body') as p from asked a left join ts on ts.term = a.term and ts.field = 'body')
+select hit.doc_id, round(product(pow(0.4 * (coalesce(tf.tf, 0) + 2500.0 * p.p) / (coalesce(dl.len, 0) + 2500.0) + 0.6 * p.p, p.w)), 12) as score
+from hit cross join p left join tf on tf.doc_id = hit.doc_id and tf.term = p.term
+left join (select * from dl where field = 'body') dl on dl.doc_id = hit.doc_id group by 1""")
+
+
+#: Trees written out without the parser and the rewrites of the engine, to check those as well.
+_HAND = {
+    "term_ranked": _by_hand("select doc_id, tf::double as score from tf where term = 'map'"),
+    "bool_and_ranked": _by_hand("select doc_id, min(tf)::double as score from tf where term in ('have', 'map', 'from') group by 1 having count(*) = 3"),
+    "bool_or_ranked": _by_hand(""", pairs as (select doc_id, min(tf) as s from tf where term in ('book', 'museum') group by 1 having count(*) = 2)
+select doc_id, max(s)::double as score from (select * from pairs union all select doc_id, tf from tf where term = 'travel') group by 1"""),
+    "sum_bm25": _by_hand(""", asked(term, times) as (values ('map', 2), ('travel', 1), ('museum', 1))
+select doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) as score
+from tf join asked using (term) group by 1"""),
+    "default_operator": _by_hand("""
+select doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) as score
+from tf where term in ('travel', 'map', 'museum') group by 1"""),
+    "and_indri": _indri_by_hand({"map": 1 / 3, "travel": 1 / 3, "museum": 1 / 3}),
+    "wand_indri": _indri_by_hand({"map": 0.7 / 1.3, "travel": 0.2 / 1.3, "museum": 0.4 / 1.3}),
+    "near": _by_hand(""", w as (select doc_id, term, pos from post where field = 'body' and term in ('see', 'fig')),
+-- see and fig at distances of 1 to 3, where no position has two partners
+pair as (select a.doc_id, a.pos as p, b.pos as q from w a join w b on a.doc_id = b.doc_id and a.term = 'see' and b.term = 'fig' and b.pos - a.pos between 0 and 3)
+select doc_id, least(count(distinct p), count(distinct q))::double as score from pair group by 1"""),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         name: tree_sql(parse(text, model), model, f"select doc_id, round(s, {model.digits}) as score from result")
         for name, (text, model) in Q.TREES.items()
     }
+    out |= _HAND
     flag = parse(Q.FLAGSHIP, Q.BM25)
     out["topk_run"] = tree_sql(flag, Q.BM25, """
 select ext_id, row_number() over (order by score desc, ext_id) as rank, score

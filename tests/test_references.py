@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftlight.operators import hotkeys
 from siftlight.operators import references as R
 from siftlight.operators.bloom import BloomFilter
 from siftlight.operators.hotkeys import lookup_join
@@ -59,6 +61,29 @@ def test_tiny_filter_gives_the_same(spark):
     assert {(r.ext_id, r.t, r.why): r.n for r in got} == brute()
 
 
+def test_hot_id_and_a_filter_that_is_left_out(spark):
+    """One id has half of all references, most of them within an hour; a filter without room is not built."""
+    rnd = random.Random(6)
+    begin, end = at(40, 3) + dt.timedelta(minutes=20), at(40, 3) + dt.timedelta(minutes=40)
+    records = [("hot", begin, end), ("hot", at(41), at(42))] + [(f"r{i}", at(i % 50), None) for i in range(300)]
+    refs = [("hot", at(40, 3) + dt.timedelta(seconds=rnd.randint(0, 3599))) for _ in range(2000)]
+    refs += [("hot", at(rnd.randint(38, 43), rnd.randint(0, 23))) for _ in range(200)]
+    refs += [(f"r{rnd.randint(0, 500)}", at(rnd.randint(0, 60))) for _ in range(2200)]
+    since = {}
+    for e, a, _ in records:
+        since[e] = min(a, since.get(e, a))
+    want = {}
+    for e, t in refs:
+        if not any(e == r and a <= t and (z is None or z > t) for r, a, z in records):
+            key = (e, t, "missing" if e not in since else "deleted" if since[e] <= t else "late")
+            want[key] = want.get(key, 0) + 1
+    for bits in (None, 4):
+        assert BloomFilter(spark.createDataFrame(records, "k string, a timestamp, z timestamp"), "k", bits).useful is (bits is None)
+        q, r = frames(spark, refs, records)
+        got = {(x.ext_id, x.t, x.why): x.n for x in R.orphans(q, r, max_bits=bits).collect()}
+        assert got == want
+
+
 @pytest.mark.parametrize(("refs", "records"), [([], []), (REFS, []), ([], RECORDS)])
 def test_empty(spark, refs, records):
     got = R.orphans(*frames(spark, refs, records)).collect()
@@ -80,3 +105,15 @@ def test_lookup_join_beyond_broadcast(spark):
     lookup = facts.groupBy("k").agg(F.count("*").alias("n"))
     got = lookup_join(facts, lookup, ["k"], "n", lookup_rows=10**6, bound=3)
     assert got.count() == 10_000 and got.select("id").distinct().count() == 10_000
+
+
+def test_lookup_join_measures_bytes(spark, monkeypatch):
+    """Few rows may be large: beyond the bytes allowed only popular keys are broadcast, and the rows are the same."""
+    monkeypatch.setattr(hotkeys, "BROADCAST_BYTES", 5000)
+    facts = spark.range(2000).select((F.col("id") % 20).alias("k"), "id").unionByName(spark.range(9000, 12000).select(F.lit(7).cast("long").alias("k"), "id"))
+    lookup = facts.groupBy("k").agg(F.count("*").alias("n")).withColumn("wide", F.expr("transform(sequence(1, 100), x -> named_struct('a', x, 'b', repeat('y', 5)))"))
+    bytes_ = lookup.select(hotkeys.row_bytes(lookup).alias("b")).first().b
+    assert 2000 < bytes_ < 8000
+    got = lookup_join(facts, lookup, ["k"], "n", lookup_rows=20)
+    assert got.count() == 5000 and got.select("id").distinct().count() == 5000 and got.where("size(wide) <> 100").count() == 0
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
