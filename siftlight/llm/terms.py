@@ -45,19 +45,41 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(state).select("doc_id", "s.*")
 
 
+def _with_one(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _added_up(raw: Column) -> Column:
+    """An array of (stem, tf) with equal stems added up; where all differ, as most do, it is the array itself."""
+    words = F.transform(raw, lambda p: p["stem"])
+
+    def repeated(ordered: Column) -> Column:
+        return F.array_distinct(F.filter(ordered, lambda w, i: (i > 0) & (w == F.get(ordered, i - 1))))
+
+    def whole(word: Column) -> Column:
+        own = F.filter(raw, lambda p: p["stem"] == word)
+        return F.struct(word.alias("stem"), F.aggregate(own, F.lit(0).cast("long"), lambda n, p: n + p["tf"]).alias("tf"))
+
+    def merged(twice: Column) -> Column:
+        return F.concat(F.filter(raw, lambda p: ~F.array_contains(twice, p["stem"])), F.transform(twice, whole))
+
+    several = _with_one(_with_one(F.array_sort(words), repeated), merged)
+    return F.when(F.size(F.array_distinct(words)) == F.size(words), raw).otherwise(several)
+
+
 def flat_terms(states: DataFrame, *by: str) -> DataFrame:
     """(doc_id, by, terms): an array of (stem, tf), stems trimmed and lower-cased and equal ones added up.
 
     Null and blank stems, the stopword slot and counts below 1 are left out; a page without any term has an
-    empty array. ``states`` must have one row per page (and ``by``) and be partitioned by it, so that
-    nothing here is shuffled.
+    empty array. ``states`` must have one row per page (and ``by``); a row's terms are worked out inside
+    the row, so nothing is shuffled or sorted.
     """
     keys = ["doc_id", *by]
-    pair = F.explode_outer(F.arrays_zip("stems", "stems_freq")).alias("e")
-    stem, tf = F.lower(F.trim("e.stems")), F.col("e.stems_freq").cast("long")
-    flat = states.select(*keys, pair).select(*keys, F.when((stem != "") & (tf > 0), stem).alias("stem"), tf.alias("tf"))
-    summed = flat.groupBy(*keys, "stem").agg(F.sum("tf").alias("tf"))
-    return summed.groupBy(*keys).agg(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("stem", "tf"))).alias("terms"))
+    zipped = F.coalesce(F.arrays_zip("stems", "stems_freq"), F.expr("cast(array() as array<struct<stems: string, stems_freq: int>>)"))
+    pairs = F.transform(zipped, lambda e: F.struct(F.lower(F.trim(e["stems"])).alias("stem"), e["stems_freq"].cast("long").alias("tf")))
+    raw = F.filter(pairs, lambda p: F.coalesce((p["stem"] != "") & (p["tf"] > 0), F.lit(False)))
+    return states.select(*keys, raw.alias("raw")).select(*keys, _added_up(F.col("raw")).alias("terms"))
 
 
 def page_terms(states: DataFrame) -> DataFrame:

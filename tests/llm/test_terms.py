@@ -207,3 +207,13 @@ def test_store_in_a_later_session(spark, tmp_path):
     (tmp_path / "store" / "data" / "v3" / "bucket=0").mkdir(parents=True)
     assert terms.TermCounts.open(other, path).version == 2
     assert terms.TermCounts.open(other, path).merge(gone.limit(0), new.limit(0)).counts.count() == len(want)
+
+
+def test_equal_stems_of_a_row(spark):
+    rows = [
+        (1, "body", day(1), ["b", "A ", " a", "c", "B", "a", None, "", "d"], [1, 2, 4, 8, 16, 32, 64, 128, 0]),
+        (2, "body", day(1), ["x", "y"], [1, 2]), (3, "body", day(1), [], []), (4, "body", day(1), None, None),
+        (5, "body", day(1), ["x", "y", "z"], [1]),
+    ]
+    got = {r.doc_id: sorted((t.stem, t.tf) for t in r.terms) for r in terms.flat_terms(vectors(spark, rows)).collect()}
+    assert got == {1: [("a", 38), ("b", 17), ("c", 8)], 2: [("x", 1), ("y", 2)], 3: [], 4: [], 5: [("x", 1)]}
