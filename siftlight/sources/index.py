@@ -216,6 +216,7 @@ def build(
     postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
 
     stats = postings.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    stats = stats.repartition(max(tasks, spark.sparkContext.defaultParallelism), "field", "bucket")
     stats.sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{path}/term_stats")
     write_text(spark, f"{path}/index.json", json.dumps({"buckets": buckets, "analyzer": analyzer.describe()}))
     return Index.open(spark, path)
