@@ -30,8 +30,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """With ``line``, increasing in file order."""
-    return df.withColumn("line", F.monotonically_increasing_id())
+    """With ``line``, increasing in the order of the lines: by file, part of the file, and row.
+
+    Rows alone wouldn't do, as longer files and parts are read first.
+    """
+    return df.withColumn("line", F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("part"), F.monotonically_increasing_id().alias("row")))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,20 @@ def test_readers(spark, tmp_path):
     assert [(r.qid, r.ext_id, r.score) for r in got] == [(7, "d1", 0.5), (7, "d2", 0.9)]
 
 
+def test_lines_keep_the_order_of_files(spark, tmp_path):
+    """A short file before a long one, and a file of many parts."""
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "part-0").write_text("1 Q0 first 1 0.5 x\n")
+    (tmp_path / "r" / "part-1").write_text("".join(f"1 Q0 d{i:05} 1 0.5 x\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = [r.ext_id for r in files.read_run(spark, str(tmp_path / "r")).orderBy("line").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == ["first", *(f"d{i:05}" for i in range(5000))]
+
+
 def test_writers_overwrite(spark, tmp_path):
     run = spark.createDataFrame([(1, "Q0", "a", 2, 0.5, "r"), (1, "Q0", "b", 1, 0.7, "r")], "qid int, q0 string, ext_id string, rank int, score double, run_id string")
     for _ in range(2):
