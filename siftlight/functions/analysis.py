@@ -26,6 +26,8 @@ STOPWORDS = (
 _SINGLE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 _WORD = r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*"
 _POSSESSIVE = r"['’]s$"
+#: Where the scripts of single signs begin.
+_HIGH = r"[\x{2e80}-\x{10ffff}]"
 
 _single = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _word = regex.compile(_WORD)
@@ -66,9 +68,11 @@ class Analyzer:
     def words(self, text: Column) -> Column:
         """Array of the words of a text before stopwords are dropped and without stems; null and empty texts have none."""
         whole = F.coalesce(text, F.lit(""))
-        spaced = F.regexp_replace(F.lower(whole) if self.lowercase else whole, f"({_SINGLE})", " $1 ")
-        found = F.regexp_extract_all(spaced, F.lit(_WORD), F.lit(0))
-        return F.transform(found, lambda w: F.regexp_replace(w, _POSSESSIVE, ""))
+        # both replacements are left out where the text has nothing for them; most texts don't
+        spaced = F.when(whole.rlike(_HIGH), F.regexp_replace(whole, f"({_SINGLE})", " $1 ")).otherwise(whole)
+        found = F.regexp_extract_all(F.lower(spaced) if self.lowercase else spaced, F.lit(_WORD), F.lit(0))
+        stripped = F.transform(found, lambda w: F.regexp_replace(w, _POSSESSIVE, ""))
+        return F.when(whole.rlike("['’][sS]"), stripped).otherwise(found)
 
     def dropped(self, word: Column) -> Column:
         """Whether a word leaves only a gap."""

@@ -92,7 +92,7 @@ def live_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def term_vector(spark: SparkSession, folder: str) -> DataFrame:
-    return index_of(spark, folder).vectors()
+    return index_of(spark, folder, inverted=False).vectors()
 
 
 def vector_stems(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +100,7 @@ def vector_stems(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_positions(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.positions(index_of(spark, folder))
+    return vectors.positions(index_of(spark, folder, inverted=False))
 
 
 def vector_accessors(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +112,7 @@ def vector_accessors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_len(spark: SparkSession, folder: str) -> DataFrame:
-    return index_of(spark, folder).docs.select("doc_id", F.explode("lens").alias("field", "len"))
+    return index_of(spark, folder, inverted=False).docs.select("doc_id", F.explode("lens").alias("field", "len"))
 
 
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,7 @@ def term_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def field_stats(spark: SparkSession, folder: str) -> DataFrame:
-    index = index_of(spark, folder)
+    index = index_of(spark, folder, inverted=False)
     average = F.round(F.col("sum_ttf") / F.col("doc_count"), 6).alias("average")
     return index.field_stats.select("field", "doc_count", "sum_ttf", average, F.lit(index.n_docs).cast("long").alias("n_docs"))
 
@@ -139,13 +139,13 @@ def analyze_tokens_stemmed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def external_ids(spark: SparkSession, folder: str) -> DataFrame:
-    docs = index_of(spark, folder).docs.select("doc_id", "ext_id")
+    docs = index_of(spark, folder, inverted=False).docs.select("doc_id", "ext_id")
     return docs.join(letor.judged(table(spark, folder, "qrels")).select("ext_id").distinct(), "ext_id")
 
 
 def unmatched_ids(spark: SparkSession, folder: str) -> DataFrame:
     asked = letor.judged(table(spark, folder, "qrels")).select("ext_id").distinct()
-    return asked.join(index_of(spark, folder).docs.select("ext_id"), "ext_id", "left_anti")
+    return asked.join(index_of(spark, folder, inverted=False).docs.select("ext_id"), "ext_id", "left_anti")
 
 
 def topk_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,7 +281,7 @@ def prf_all_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def ltr_url_features(spark: SparkSession, folder: str) -> DataFrame:
     url = F.col("raw_url")
-    rows = index_of(spark, folder).docs
+    rows = index_of(spark, folder, inverted=False).docs
     return rows.select("doc_id", urls.depth(url).alias("f2"), urls.from_wikipedia(url).alias("f3"), urls.domain_score(url).alias("f17"))
 
 

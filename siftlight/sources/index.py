@@ -1,6 +1,6 @@
 """The inverted index as tables, and how it is built.
 
-    forward      field, doc_id, start, n, terms       tokens of a piece of a field; null where a stopword stood
+    forward      field, doc_id, start, n, whole, terms    tokens of a field, or of a piece of it; null where a stopword stood
     docs         doc_id, ext_id, raw_url, spam_score, lens map<field, tokens after stopping>
     postings     field, bucket, term, doc_id, tf, positions
     term_stats   field, bucket, term, df, ctf
@@ -45,7 +45,7 @@ _SCHEMAS = {
     "postings": "term string, doc_id long, tf int, positions array<int>, field string, bucket int",
     "term_stats": "term string, df long, ctf long, field string, bucket int",
     "field_stats": "field string, doc_count long, sum_ttf long",
-    "forward": "doc_id long, start int, n int, terms array<string>, field string",
+    "forward": "doc_id long, start int, n int, whole boolean, terms array<string>, field string",
 }
 
 
@@ -65,11 +65,11 @@ class FieldStats:
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of one snapshot of a collection."""
+    """Tables of one snapshot of a collection; ``postings`` and ``term_stats`` are missing in a forward index."""
 
     docs: DataFrame
-    postings: DataFrame
-    term_stats: DataFrame
+    postings: DataFrame | None
+    term_stats: DataFrame | None
     field_stats: DataFrame
     forward: DataFrame | None = None
     buckets: int = LEAST_BUCKETS
@@ -107,9 +107,15 @@ class Index:
         return rows if asked is None else rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def vectors(self, asked: DataFrame | None = None, field: str | None = None) -> DataFrame:
-        """(doc_id, field, term, tf), the forward view of all documents, or of those in ``asked`` (doc_id)."""
-        each = self.pieces(asked, field).select("doc_id", "field", F.explode(F.array_compact("terms")).alias("term"))
-        return each.groupBy("doc_id", "field", "term").agg(F.count("*").cast("int").alias("tf"))
+        """(doc_id, field, term, tf), the forward view of all documents, or of those in ``asked`` (doc_id).
+
+        A field that is one row is counted inside the row; only fields made up of pieces are shuffled.
+        """
+        rows = self.pieces(asked, field).select("doc_id", "field", "whole", F.array_compact("terms").alias("terms"))
+        counted = rows.where("whole").select("doc_id", "field", F.explode(_counts(F.col("terms"))).alias("t"))
+        each = rows.where("not whole").select("doc_id", "field", F.explode("terms").alias("term"))
+        summed = each.groupBy("doc_id", "field", "term").agg(F.count("*").cast("int").alias("tf"))
+        return counted.select("doc_id", "field", "t.term", "t.tf").unionByName(summed)
 
     def stats_of(self, terms: Sequence[T.Term]) -> DataFrame:
         return self.term_stats.where(self._of(terms))
@@ -127,6 +133,24 @@ class Index:
         return cond
 
 
+def _counts(terms: Column) -> Column:
+    """(term, tf) of an array of terms: it is sorted, and a term's run is as long as it is frequent."""
+
+    def runs(ordered: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(ordered) - 1)
+        starts = F.filter(at, lambda i: F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)))
+
+        def each(begins: Column) -> Column:
+            return F.transform(
+                begins, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(begins, k + 1), F.size(ordered)) - i).alias("tf"))
+            )
+
+        return F.element_at(F.transform(F.array(starts), each), 1)
+
+    filled = F.element_at(F.transform(F.array(F.array_sort(terms)), runs), 1)
+    return F.when(F.size(terms) > 0, filled)
+
+
 def field_terms(texts: DataFrame, fields: Sequence[str], analyzer: Analyzer) -> DataFrame:
     """(doc_id, field, terms) of a table with one text column per field; null and empty texts have no row."""
     have = [f for f in fields if f in texts.columns]
@@ -156,31 +180,26 @@ def placed_pieces(pieces: DataFrame, analyzer: Analyzer) -> DataFrame:
     return whole.select(*keys, (F.col("begin") + F.col("inside")).cast("int").alias("start"), "terms")
 
 
-def build(
+def build_forward(
     docs: DataFrame,
     path: str,
     fields: Sequence[str] = T.FIELDS,
     pieces: DataFrame | None = None,
     analyzer: Analyzer = analysis.DEFAULT,
-    task_tokens: int = TASK_TOKENS,
 ) -> Index:
-    """Write the index of ``docs`` (doc_id, ext_id, raw_url, spam_score and a text column per field).
+    """Write what needs no shuffle of tokens: the forward index, the documents with their lengths, the fields' statistics.
 
-    ``pieces`` adds fields that are made up of many small texts; see ``placed_pieces``. Rows without doc_id
-    are left out; doc_id must be unique, and the documents of ``pieces`` must be among them.
-
-    Texts are analysed once, into ``forward``. Its tokens are shuffled once, by field, bucket and slice,
-    which serves the grouping of positions and the layout of the files. There are as many buckets and
-    slices as the tokens need; a term's rows lie in one slice of its bucket, those of a frequent term are
-    spread over all of them by document.
+    ``docs`` is (doc_id, ext_id, raw_url, spam_score and a text column per field). ``pieces`` adds fields that
+    are made up of many small texts; see ``placed_pieces``. Rows without doc_id are left out; doc_id must be
+    unique, and the documents of ``pieces`` must be among them.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    toks = field_terms(docs, fields, analyzer).select("doc_id", "field", F.lit(0).alias("start"), "terms")
+    toks = field_terms(docs, fields, analyzer).select("doc_id", "field", F.lit(0).alias("start"), F.lit(True).alias("whole"), "terms")
     if pieces is not None:
-        toks = toks.unionByName(placed_pieces(pieces, analyzer))
+        toks = toks.unionByName(placed_pieces(pieces, analyzer).withColumn("whole", F.lit(False)))
     kept = F.size(F.array_compact("terms")).alias("n")
-    toks.select("doc_id", "field", "start", kept, "terms").where("n > 0").write.partitionBy("field").parquet(f"{path}/forward")
+    toks.select("doc_id", "field", "start", kept, "whole", "terms").where("n > 0").write.partitionBy("field").parquet(f"{path}/forward")
     forward = spark.read.schema(_SCHEMAS["forward"]).parquet(f"{path}/forward")
 
     lens = forward.groupBy("doc_id", "field").agg(F.sum("n").alias("len"))
@@ -193,6 +212,19 @@ def build(
     written = spark.read.schema(_SCHEMAS["docs"]).parquet(f"{path}/docs")
     each = written.select(F.explode("lens").alias("field", "len"))
     each.groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("len").alias("sum_ttf")).coalesce(1).write.parquet(f"{path}/field_stats")
+    sizes = spark.read.schema(_SCHEMAS["field_stats"]).parquet(f"{path}/field_stats")
+    return Index(written, None, None, sizes, forward, analyzer=analyzer)
+
+
+def invert(index: Index, path: str, task_tokens: int = TASK_TOKENS) -> Index:
+    """Write the postings of a forward index beside it.
+
+    The tokens are shuffled once, by field, bucket and slice, which serves the grouping of positions and the
+    layout of the files. There are as many buckets and slices as the tokens need; a term's rows lie in one
+    slice of its bucket, those of a frequent term are spread over all of them by document.
+    """
+    forward = index.forward
+    spark = forward.sparkSession
     total, rows = forward.agg(F.sum("n"), F.count("*")).first()
     tasks = max(1, math.ceil((total or 0) / task_tokens))
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (tasks // 4).bit_length()))
@@ -209,19 +241,32 @@ def build(
         long = long.join(F.broadcast(often), ["field", "term"], "left")
         by_term = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(slices))).otherwise(by_term)
     placed = long.select("field", "term", "doc_id", "pos", bucket(F.col("term"), buckets).alias("bucket"), by_term.cast("int").alias("slice"))
-    spread = placed.repartition(max(2 * tasks, spark.sparkContext.defaultParallelism), "field", "bucket", "slice")
+    least = spark.sparkContext.defaultParallelism
+    spread = placed.repartition(max(2 * tasks, least), "field", "bucket", "slice")
     rows = spread.groupBy("field", "bucket", "slice", "term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     rows = rows.select("field", "bucket", "term", "doc_id", F.size("positions").alias("tf"), "positions")
     rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
     postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
 
     stats = postings.groupBy("field", "bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    stats = stats.repartition(max(tasks, spark.sparkContext.defaultParallelism), "field", "bucket")
+    stats = stats.repartition(max(tasks, least), "field", "bucket")
     stats.sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{path}/term_stats")
-    write_text(spark, f"{path}/index.json", json.dumps({"buckets": buckets, "analyzer": analyzer.describe()}))
+    write_text(spark, f"{path}/index.json", json.dumps({"buckets": buckets, "analyzer": index.analyzer.describe()}))
     return Index.open(spark, path)
 
 
+def build(
+    docs: DataFrame,
+    path: str,
+    fields: Sequence[str] = T.FIELDS,
+    pieces: DataFrame | None = None,
+    analyzer: Analyzer = analysis.DEFAULT,
+    task_tokens: int = TASK_TOKENS,
+) -> Index:
+    """Write the whole index of ``docs``: texts are analysed once, into the forward index, which is then inverted."""
+    return invert(build_forward(docs, path, fields, pieces, analyzer), path, task_tokens)
+
+
 def url_key(url: Column) -> Column:
     """A URL without scheme and closing slash, lower-cased, to compare links with."""
     return F.regexp_replace(F.regexp_replace(F.lower(url), "^https?://", ""), "/$", "")
@@ -285,16 +330,19 @@ def inlinks(spark: SparkSession, folder: str, pages: DataFrame) -> DataFrame:
     return led.select("doc_id", F.lit("inlink").alias("field"), "part", "place", "text")
 
 
-_built: dict[tuple[str, str, bool], Index] = {}
+_built: dict[tuple[str, str, bool], tuple[Index, str]] = {}
 
 
-def index_of(spark: SparkSession, folder: str, live_only: bool = False) -> Index:
-    """The index of a data folder, built once per application into the shared folder."""
+def index_of(spark: SparkSession, folder: str, live_only: bool = False, inverted: bool = True) -> Index:
+    """The index of a data folder, built once per application into the shared folder; its postings only if asked for."""
     key = (spark.sparkContext.applicationId, folder, live_only)
     if key not in _built:
-        pages = collection(spark, folder, live_only)
-        _built[key] = build(pages, new_path(spark, "index"), pieces=inlinks(spark, folder, pages.select("doc_id", "raw_url")))
-    return _built[key]
+        pages, path = collection(spark, folder, live_only), new_path(spark, "index")
+        _built[key] = build_forward(pages, path, pieces=inlinks(spark, folder, pages.select("doc_id", "raw_url"))), path
+    index, path = _built[key]
+    if inverted and index.postings is None:
+        _built[key] = index, path = invert(index, path), path
+    return index
 
 
 def scan(texts: DataFrame, terms: Sequence[T.Term], analyzer: Analyzer = analysis.DEFAULT) -> Index:

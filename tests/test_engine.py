@@ -205,6 +205,23 @@ def test_pieces_are_placed_like_one_text(spark):
     assert got.docs.where("doc_id = 1").first().lens == {"inlink": sum(map(len, want.values()))}
 
 
+def test_counts_inside_a_row(spark):
+    rows = [(1, ["b", "a", "b", "c", "b", "a"]), (2, []), (3, ["x"]), (4, None), (5, ["y"] * 3000)]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = {r.id: None if r.c is None else {x.term: x.tf for x in r.c} for r in df.select("id", I._counts(F.col("t")).alias("c")).collect()}
+    assert got == {1: {"a": 2, "b": 3, "c": 1}, 2: None, 3: {"x": 1}, 4: None, 5: {"y": 3000}}
+
+
+def test_forward_index_alone(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, ext_id string, body string, title string")
+    path = new_path(spark, "test-index")
+    first = I.build_forward(docs, path, ("body", "title"))
+    assert first.postings is None
+    both = I.invert(first, path)
+    want = {(r.doc_id, r.field, r.term): r.tf for r in both.postings.collect()}
+    assert {(r.doc_id, r.field, r.term): r.tf for r in first.vectors().collect()} == want
+
+
 def test_lookups_start_no_job(spark, index):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lookup", "")
