@@ -64,7 +64,7 @@ def _added_up(raw: Column) -> Column:
     def merged(twice: Column) -> Column:
         return F.concat(F.filter(raw, lambda p: ~F.array_contains(twice, p["stem"])), F.transform(twice, whole))
 
-    several = _with_one(_with_one(F.array_sort(words), repeated), merged)
+    several = _with_one(_with_one(F.sort_array(words), repeated), merged)
     return F.when(F.size(F.array_distinct(words)) == F.size(words), raw).otherwise(several)
 
 
