@@ -62,7 +62,7 @@ def term_scores(
 def learned_text(terms: DataFrame, by: Sequence[str] = ("qid",), form: str = "%.12f") -> DataFrame:
     """(by, learned): the expansion as query text, terms by rank, weights in the given form."""
     pair = F.concat_ws(" ", F.format_string(form, "score"), "term")
-    got = F.array_sort(F.collect_list(F.struct("rank", pair.alias("p"))))
+    got = F.sort_array(F.collect_list(F.struct("rank", pair.alias("p"))))
     body = F.array_join(F.transform(got, lambda e: e["p"]), " ")
     return terms.groupBy(*by).agg(F.concat(F.lit("#WAND( "), body, F.lit(" )")).alias("learned"))
 

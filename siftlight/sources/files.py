@@ -115,7 +115,7 @@ def write_expansions(learned: DataFrame, path: str, mode: str = "overwrite") ->
 
 def write_svm_model(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(alpha, values) as a model file of the linear kernel, with the lines of the header that are read."""
-    order = F.array_sort(F.map_entries("values"))
+    order = F.sort_array(F.map_entries("values"))
     text = F.array_join(F.transform(order, lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), " ")
     lines = vectors.select(F.concat_ws(" ", F.col("alpha").cast("string"), text, F.lit("#")).alias("value"))
     head = vectors.sparkSession.createDataFrame([("SVM-light",), ("0 # kernel type",)], "value string").coalesce(1)

@@ -147,10 +147,31 @@ def _counts(terms: Column) -> Column:
 
         return F.element_at(F.transform(F.array(starts), each), 1)
 
-    filled = F.element_at(F.transform(F.array(F.array_sort(terms)), runs), 1)
+    filled = F.element_at(F.transform(F.array(F.sort_array(terms)), runs), 1)
     return F.when(F.size(terms) > 0, filled)
 
 
+def _lists(terms: Column) -> Column:
+    """(term, positions) of an array of terms that may hold nulls: sorted with their places, and cut where the term changes."""
+
+    def runs(ordered: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(ordered) - 1)
+        starts = F.filter(at, lambda i: F.coalesce(F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"], F.lit(True)))
+
+        def each(begins: Column) -> Column:
+            def run(i: Column, k: Column) -> Column:
+                own = F.slice(ordered, i + 1, F.coalesce(F.get(begins, k + 1), F.size(ordered)) - i)
+                return F.struct(F.get(ordered, i)["term"].alias("term"), F.transform(own, lambda x: x["pos"]).alias("positions"))
+
+            return F.transform(begins, run)
+
+        return F.element_at(F.transform(F.array(starts), each), 1)
+
+    placed = F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("pos"))), lambda x: x["term"].isNotNull())
+    filled = F.element_at(F.transform(F.array(F.sort_array(placed)), runs), 1)
+    return F.when(F.exists(terms, lambda t: t.isNotNull()), filled)
+
+
 def field_terms(texts: DataFrame, fields: Sequence[str], analyzer: Analyzer) -> DataFrame:
     """(doc_id, field, terms) of a table with one text column per field; null and empty texts have no row."""
     have = [f for f in fields if f in texts.columns]
@@ -219,8 +240,8 @@ def build_forward(
 def invert(index: Index, path: str, task_tokens: int = TASK_TOKENS) -> Index:
     """Write the postings of a forward index beside it.
 
-    The tokens are shuffled once, by field, bucket and slice, which serves the grouping of positions and the
-    layout of the files. There are as many buckets and slices as the tokens need; a term's rows lie in one
+    The positions of a term are gathered inside the row of a field; only those of fields made up of pieces are
+    grouped. The lists are shuffled once, by field, bucket and slice, for the layout of the files. There are as many buckets and slices as the tokens need; a term's rows lie in one
     slice of its bucket, those of a frequent term are spread over all of them by document.
     """
     forward = index.forward
@@ -230,8 +251,11 @@ def invert(index: Index, path: str, task_tokens: int = TASK_TOKENS) -> Index:
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (tasks // 4).bit_length()))
     slices = math.ceil(tasks / buckets)
     by_term = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(slices))
-    long = forward.select("doc_id", "field", "start", F.posexplode("terms").alias("at", "term")).where("term is not null")
-    long = long.select("doc_id", "field", "term", (F.col("start") + F.col("at")).alias("pos"))
+    columns = ["field", "term", "doc_id", "positions"]
+    listed = forward.where("whole").select("doc_id", "field", F.explode(_lists(F.col("terms"))).alias("x")).select("field", "x.term", "doc_id", "x.positions")
+    each = forward.where("not whole").select("doc_id", "field", "start", F.posexplode("terms").alias("at", "term")).where("term is not null")
+    grouped = each.groupBy("field", "term", "doc_id").agg(F.sort_array(F.collect_list(F.col("start") + F.col("at"))).alias("positions"))
+    long = listed.unionByName(grouped.select(*columns))
     if slices > 1:
         share = min(1.0, PLAN_ROWS / rows)
         sample = forward.sample(share, seed=1).select("field", F.explode(F.array_compact("terms")).alias("term"))
@@ -240,11 +264,10 @@ def invert(index: Index, path: str, task_tokens: int = TASK_TOKENS) -> Index:
         often = materialize(often.where(F.col("about") >= task_tokens / 4).select("field", "term", F.lit(True).alias("often")), "frequent-terms")
         long = long.join(F.broadcast(often), ["field", "term"], "left")
         by_term = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(slices))).otherwise(by_term)
-    placed = long.select("field", "term", "doc_id", "pos", bucket(F.col("term"), buckets).alias("bucket"), by_term.cast("int").alias("slice"))
+    placed = long.select(*columns, bucket(F.col("term"), buckets).alias("bucket"), by_term.cast("int").alias("slice"))
     least = spark.sparkContext.defaultParallelism
     spread = placed.repartition(max(2 * tasks, least), "field", "bucket", "slice")
-    rows = spread.groupBy("field", "bucket", "slice", "term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    rows = rows.select("field", "bucket", "term", "doc_id", F.size("positions").alias("tf"), "positions")
+    rows = spread.select("field", "bucket", "term", "doc_id", F.size("positions").alias("tf"), "positions")
     rows.sortWithinPartitions("field", "bucket", "term", "doc_id").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
     postings = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{path}/postings")
 

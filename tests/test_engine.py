@@ -210,6 +210,11 @@ def test_counts_inside_a_row(spark):
     df = spark.createDataFrame(rows, "id int, t array<string>")
     got = {r.id: None if r.c is None else {x.term: x.tf for x in r.c} for r in df.select("id", I._counts(F.col("t")).alias("c")).collect()}
     assert got == {1: {"a": 2, "b": 3, "c": 1}, 2: None, 3: {"x": 1}, 4: None, 5: {"y": 3000}}
+    rows += [(6, [None, "b", None, "a", "b", None]), (7, [None, None])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = {r.id: None if r.c is None else {x.term: x.positions for x in r.c} for r in df.select("id", I._lists(F.col("t")).alias("c")).collect()}
+    assert got[1] == {"a": [1, 5], "b": [0, 2, 4], "c": [3]} and got[6] == {"b": [1, 4], "a": [3]} and got[5] == {"y": list(range(3000))}
+    assert got[2] is got[4] is got[7] is None
 
 
 def test_forward_index_alone(spark):
