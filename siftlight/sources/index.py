@@ -207,16 +207,22 @@ def build_forward(
     fields: Sequence[str] = T.FIELDS,
     pieces: DataFrame | None = None,
     analyzer: Analyzer = analysis.DEFAULT,
+    stored: DataFrame | None = None,
 ) -> Index:
-    """Write what needs no shuffle of tokens: the forward index, the documents with their lengths, the fields' statistics.
+    """Write what needs no shuffle of texts or tokens: the forward index, the documents with their lengths, the fields' statistics.
 
-    ``docs`` is (doc_id, ext_id, raw_url, spam_score and a text column per field). ``pieces`` adds fields that
-    are made up of many small texts; see ``placed_pieces``. Rows without doc_id are left out; doc_id must be
-    unique, and the documents of ``pieces`` must be among them.
+    ``docs`` is (doc_id, ext_id, raw_url, spam_score and a text column per field). ``stored`` gives raw_url
+    and spam_score by doc_id where ``docs`` lacks them, and the url's text; only ids are joined with it, never
+    texts. ``pieces`` adds fields that are made up of many small texts; see ``placed_pieces``. Rows without
+    doc_id are left out; doc_id must be unique, and the documents of ``pieces`` must be among them.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    toks = field_terms(docs, fields, analyzer).select("doc_id", "field", F.lit(0).alias("start"), F.lit(True).alias("whole"), "terms")
+    toks = field_terms(docs, fields, analyzer)
+    if stored is not None:
+        docs = materialize(docs.select("doc_id", "ext_id").join(stored.select("doc_id", "raw_url", "spam_score"), "doc_id", "left"), "documents")
+        toks = toks.unionByName(field_terms(docs.withColumnRenamed("raw_url", "url"), [f for f in fields if f == "url"], analyzer))
+    toks = toks.select("doc_id", "field", F.lit(0).alias("start"), F.lit(True).alias("whole"), "terms")
     if pieces is not None:
         toks = toks.unionByName(placed_pieces(pieces, analyzer).withColumn("whole", F.lit(False)))
     kept = F.size(F.array_compact("terms")).alias("n")
@@ -317,20 +323,18 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(state).select("doc_id", "s.*")
 
 
-def collection(spark: SparkSession, folder: str, live_only: bool = False) -> DataFrame:
-    """The pages of a data folder with the text of every field but inlink.
+def collection(spark: SparkSession, folder: str, live: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ext_id, body, keywords, title) of the pages of a data folder, or of those in ``live`` (doc_id).
 
-    body and title are the page's own; url is the address of its record; keywords are the anchors of the
-    page's own links. ``live_only`` leaves out pages whose record is deleted.
+    body and title are the page's own; keywords are the anchors of the page's own links. The url is the
+    address of a page's record, and inlink has the anchors of links that lead there; see ``inlinks``.
     """
     docs = table(spark, folder, "documents").where("doc_id is not null")
-    pages = docs.select("doc_id", norm_id("ext_id").alias("ext_id"), F.col("text").alias("body"), "title")
-    pages = pages.join(records(spark, folder), "doc_id", "left")
-    if live_only:
-        pages = pages.where("deleted_at is null")
-    anchors = F.array_join(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), " ")
-    own = F.when(F.col("body").contains("]("), anchors)
-    return pages.select("doc_id", "ext_id", "raw_url", "spam_score", "body", F.col("raw_url").alias("url"), own.alias("keywords"), "title")
+    if live is not None:
+        docs = docs.join(live.select("doc_id"), "doc_id", "left_semi")
+    anchors = F.array_join(F.regexp_extract_all("text", F.lit(LINK), F.lit(1)), " ")
+    own = F.when(F.col("text").contains("]("), anchors)
+    return docs.select("doc_id", norm_id("ext_id").alias("ext_id"), F.col("text").alias("body"), own.alias("keywords"), "title")
 
 
 def inlinks(spark: SparkSession, folder: str, pages: DataFrame) -> DataFrame:
@@ -360,8 +364,14 @@ def index_of(spark: SparkSession, folder: str, live_only: bool = False, inverted
     """The index of a data folder, built once per application into the shared folder; its postings only if asked for."""
     key = (spark.sparkContext.applicationId, folder, live_only)
     if key not in _built:
-        pages, path = collection(spark, folder, live_only), new_path(spark, "index")
-        _built[key] = build_forward(pages, path, pieces=inlinks(spark, folder, pages.select("doc_id", "raw_url"))), path
+        held = materialize(records(spark, folder), "records")
+        ids = table(spark, folder, "documents").select("doc_id").where("doc_id is not null")
+        if live_only:  # a page without a record is live
+            ids = ids.join(held.where("deleted_at is not null"), "doc_id", "left_anti")
+        targets = ids.join(held, "doc_id").select("doc_id", "raw_url")
+        path = new_path(spark, "index")
+        pages = collection(spark, folder, ids if live_only else None)
+        _built[key] = build_forward(pages, path, pieces=inlinks(spark, folder, targets), stored=held), path
     index, path = _built[key]
     if inverted and index.postings is None:
         _built[key] = index, path = invert(index, path), path
